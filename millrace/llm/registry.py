@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from millrace.llm import quality_rules
+from millrace.llm import fingerprints, quality_rules
 from millrace.llm.oracles import ORACLES
 
 
 def queries() -> dict:
     return {
+        "op3_fingerprints": fingerprints.op3_fingerprints,
         "op9_quality_rules": quality_rules.op9_quality_rules,
     }
 
