@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from millrace.llm import fingerprints, quality_rules
+from millrace.llm import fingerprints, packing, quality_rules, token_files
 from millrace.llm.oracles import ORACLES
 
 
 def queries() -> dict:
     return {
         "op3_fingerprints": fingerprints.op3_fingerprints,
+        "op6_packing": packing.op6_packing,
+        "op7_token_files": token_files.op7_token_files,
         "op9_quality_rules": quality_rules.op9_quality_rules,
     }
 
