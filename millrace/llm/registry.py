@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from millrace.llm import fingerprints, packing, quality_rules, token_files
+from millrace.llm import bpe, fingerprints, packing, quality_rules, token_files
 from millrace.llm.oracles import ORACLES
 
 
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op3_fingerprints": fingerprints.op3_fingerprints,
         "op6_packing": packing.op6_packing,
         "op7_token_files": token_files.op7_token_files,
+        "op8_bpe": bpe.op8_bpe,
         "op9_quality_rules": quality_rules.op9_quality_rules,
     }
 
