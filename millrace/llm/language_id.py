@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm.common import crc_mod, documents
-from millrace.llm.words import PIECE, Chunk, chunks
+from millrace.llm.words import PIECE, chunks
 
 ORDERS = (3, 4)
 LOG_BUCKETS = 16

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from millrace.llm import bpe, fingerprints, language_id, packing, quality_rules, token_files
+from millrace.llm import bpe, fingerprints, language_id, packing, quality_rules, token_files, toxicity
 from millrace.llm.oracles import ORACLES
 
 
@@ -10,6 +10,7 @@ def queries() -> dict:
     return {
         "op1_language_id": language_id.op1_language_id,
         "op3_fingerprints": fingerprints.op3_fingerprints,
+        "op4_toxicity": toxicity.op4_toxicity,
         "op6_packing": packing.op6_packing,
         "op7_token_files": token_files.op7_token_files,
         "op8_bpe": bpe.op8_bpe,

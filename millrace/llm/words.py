@@ -67,48 +67,54 @@ def chunks(column: pa.Array, limit: int = CHUNK) -> Iterator[Chunk]:
         i = j
 
 
-def _hash_piece(data: np.ndarray, doc_starts: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and first byte of every word of data; no word crosses a document's start."""
+def pieces(data: np.ndarray, space: np.ndarray = SPACE) -> Iterator[np.ndarray]:
+    """One document's bytes in pieces of about PIECE bytes, cut behind white space; a longer word is never cut."""
+    at, n = 0, len(data)
+    while at < n:
+        end = at + PIECE
+        while end < n:
+            gap = np.flatnonzero(space[data[at:end]])
+            if len(gap):
+                end = at + int(gap[-1]) + 1
+                break
+            end += PIECE
+        yield data[at : min(end, n)]
+        at = end
+
+
+def hash_piece(data: np.ndarray, doc_starts: np.ndarray, table: np.ndarray = LOWER, space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, first byte and length of every word of data; no word crosses a document's start."""
+    none = np.zeros(0, np.int64)
     if not len(data):
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    text = ~SPACE[data]
+        return np.zeros(0, np.uint64), none, none
+    text = ~space[data]
     first = text.copy()
     first[1:] &= ~text[:-1]
     heads = doc_starts[doc_starts < len(data)]
     first[heads] = text[heads]
     begins = np.flatnonzero(first)
     if not len(begins):
-        return np.zeros(0, np.uint64), begins
+        return np.zeros(0, np.uint64), none, none
     at = np.flatnonzero(text)
-    word = np.cumsum(first[at]) - 1
-    inside = at - begins[word]
-    terms = (table[data[at]].astype(np.uint64) + np.uint64(1)) * powers(int(inside.max()) + 1)[inside]
     bounds = np.flatnonzero(first[at])
-    return mix(np.add.reduceat(terms, bounds)), begins
+    lengths = np.diff(np.append(bounds, len(at)))
+    inside = np.arange(len(at)) - np.repeat(bounds, lengths)
+    terms = (table[data[at]].astype(np.uint64) + np.uint64(1)) * powers(int(lengths.max()))[inside]
+    return mix(np.add.reduceat(terms, bounds)), begins, lengths
 
 
 def word_hashes(chunk: Chunk, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """Word hashes of the chunk's documents in order, and each document's offsets in them."""
     table = LOWER if lower else SAME
     if len(chunk.data) <= PIECE:
-        hashes, begins = _hash_piece(chunk.data, chunk.starts[:-1], table)
+        hashes, begins, _ = hash_piece(chunk.data, chunk.starts[:-1], table)
         return hashes, np.searchsorted(begins, chunk.starts)
-    if len(chunk.starts) != 2:
-        parts = [word_hashes(Chunk(0, chunk.data[a:b], np.array([0, b - a])), lower) for a, b in zip(chunk.starts[:-1], chunk.starts[1:], strict=True)]
-        return np.concatenate([p[0] for p in parts]), np.concatenate([[0], np.cumsum([len(p[0]) for p in parts])])
-    found, at, n = [], 0, len(chunk.data)
-    while at < n:
-        end = min(n, at + PIECE)
-        if end < n:
-            gap = np.flatnonzero(SPACE[chunk.data[at:end]])
-            while not len(gap) and end < n:  # a word longer than a piece
-                end = min(n, end + PIECE)
-                gap = np.flatnonzero(SPACE[chunk.data[at:end]])
-            end = at + int(gap[-1]) + 1 if len(gap) and end < n else end
-        found.append(_hash_piece(chunk.data[at:end], np.zeros(1, np.int64), table)[0])
-        at = end
-    hashes = np.concatenate(found)
-    return hashes, np.array([0, len(hashes)])
+    found, offsets = [], [0]
+    for a, b in zip(chunk.starts[:-1], chunk.starts[1:], strict=True):
+        own = [hash_piece(p, np.zeros(1, np.int64), table)[0] for p in pieces(chunk.data[a:b])]
+        found += own
+        offsets.append(offsets[-1] + sum(map(len, own)))
+    return np.concatenate(found) if found else np.zeros(0, np.uint64), np.array(offsets)
 
 
 def shingle_hashes(words: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
