@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from millrace.llm import bpe, fingerprints, language_id, packing, quality_rules, token_files, toxicity
+from millrace.llm import bpe, fingerprints, language_id, packing, quality_rules, sharding, token_files, toxicity
 from millrace.llm.oracles import ORACLES
 
 
 def queries() -> dict:
     return {
         "op1_language_id": language_id.op1_language_id,
+        "op2_sharding": sharding.op2_sharding,
         "op3_fingerprints": fingerprints.op3_fingerprints,
         "op4_toxicity": toxicity.op4_toxicity,
         "op6_packing": packing.op6_packing,
