@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from millrace.llm import bpe, fingerprints, language_id, packing, quality_rules, sharding, token_files, toxicity
+from millrace.llm import bpe, fingerprints, jaccard_join, language_id, packing, quality_rules, sharding, token_files, toxicity
 from millrace.llm.oracles import ORACLES
 
 
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op2_sharding": sharding.op2_sharding,
         "op3_fingerprints": fingerprints.op3_fingerprints,
         "op4_toxicity": toxicity.op4_toxicity,
+        "op5_jaccard_join": jaccard_join.op5_jaccard_join,
         "op6_packing": packing.op6_packing,
         "op7_token_files": token_files.op7_token_files,
         "op8_bpe": bpe.op8_bpe,
