@@ -2,7 +2,7 @@
 
 A tokenizer of these files looks at words apart: text cut where no rule reaches across gives the same ids.
 For byte-level files such a place is a single space, or a single line feed, between characters that are no white
-space; for files that drop white space it is any space or line feed. The cache only saves time: it is emptied when full."""
+space; for files that drop white space it is any space or line feed. The two caches only save time: each is emptied when full."""
 
 from __future__ import annotations
 
@@ -15,7 +15,9 @@ import numpy as np
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-CACHE_WORDS = 1_000_000
+#: Words kept after a second sight, and words seen once.
+OLD_WORDS = 300_000
+YOUNG_WORDS = 150_000
 _IRREGULAR = re.compile(r"[^\S \n]|[ \n]{2}|\A\s|\s\Z")
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 
@@ -29,7 +31,8 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.byte_level = byte_level
-        self.cache: dict[str, bytes] = {}
+        self.cache: dict[str, bytes] = {}  # words seen once
+        self.old: dict[str, bytes] = {}  # words seen again
         vocabulary = self.tokenizer.get_vocab()
         self.bar = vocabulary.get("|</w>", -1)
         self.opens = np.zeros(max(vocabulary.values()) + 1, bool)
@@ -74,15 +77,25 @@ class WordEncoder:
         if self.byte_level:  # a text's first word has no space before it
             heads = self._alone([p[0] for p in parts])
             parts = [p[1:] for p in parts]
-        if len(self.cache) > CACHE_WORDS:
+        if len(self.old) > OLD_WORDS:
+            self.old.clear()
+        if len(self.cache) > YOUNG_WORDS:
             self.cache.clear()
         flat = list(chain.from_iterable(parts))
-        found = list(map(self.cache.get, flat))
+        found = list(map(self.old.get, flat))
         missing = [i for i, x in enumerate(found) if x is None]
         if missing:
-            self._learn(list(dict.fromkeys([flat[i] for i in missing])))
+            young, again, new = self.cache, {}, []
+            for w in dict.fromkeys([flat[i] for i in missing]):
+                known = young.get(w)
+                if known is None:
+                    new.append(w)
+                else:
+                    again[w] = known
+            self.old.update(again)
+            self._learn(new)
             for i in missing:
-                found[i] = self.cache[flat[i]]
+                found[i] = young[flat[i]]
         out, at = [], 0
         for k, p in enumerate(parts):
             joined = b"".join(found[at : at + len(p)])
