@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from millrace.llm import bpe, fingerprints, jaccard_join, language_id, packing, quality_rules, sharding, token_files, toxicity
+from millrace.llm import bpe, fingerprints, jaccard_join, language_id, lm_scores, packing, quality_rules, sharding, token_files, toxicity
 from millrace.llm.oracles import ORACLES
 
 
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op7_token_files": token_files.op7_token_files,
         "op8_bpe": bpe.op8_bpe,
         "op9_quality_rules": quality_rules.op9_quality_rules,
+        "op10_lm_scores": lm_scores.op10_lm_scores,
     }
 
 
