@@ -1,10 +1,65 @@
-"""The corpus pipeline: stages over documents."""
+"""The corpus pipeline: language ID, quality rules, near-duplicate removal and packing over documents.
+
+Every stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; all but the last return the columns
+of documents. Nulls, repeated rows and empty tables are treated as each operator says."""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from millrace.llm import jaccard_join, language_id, packing, quality_rules
+from millrace.llm.common import documents, written
+
+#: A document whose likeliest language holds less than this share is rejected.
+LANGUAGE_SHARE = 0.35
+SHINGLE_WORDS = 5
+SIMILARITY_PERCENT = 80
+
+
+def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of a known language; those without one, or of no clear one, go."""
+    found = language_id.predicted(docs, language_id.fit(docs), "_language", "_share")
+    return found.where((F.col("_language") != language_id.UNKNOWN) & (F.col("_share") >= LANGUAGE_SHARE)).select(*docs.columns)
+
+
+def filter_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the quality rules."""
+    mark = F.xxhash64("text", F.octet_length("text"))
+    judged = quality_rules.judged(docs.select("doc_id", "lang", "source", "text", mark.alias("mark")))
+    kept = judged.where("kept").select(F.col("doc_id").alias("kept_id"), "mark").distinct()
+    marked = docs.withColumn("_mark", mark)
+    return marked.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col("_mark") == F.col("mark")), "left_semi").select(*docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of least doc_id in each group of linked documents; of rows that repeat its doc_id and text, one."""
+    found = jaccard_join.joined(docs.select("doc_id", "text"), SHINGLE_WORDS, SIMILARITY_PERCENT)
+    first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("first_id")).distinct()
+    kept = docs.join(first, F.col("doc_id").eqNullSafe(F.col("first_id")), "left_semi").withColumn("_mark", F.xxhash64("text", F.octet_length("text")))
+    return kept.dropDuplicates(["doc_id", "_mark"]).select(*docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Packed pieces of the documents."""
+    import public_tokenizers
+
+    return packing.packed(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("language_id", identify),
+    ("quality_rules", filter_quality),
+    ("jaccard_join", drop_near_duplicates),
+    ("packing", pack),
+]
+
+#: Language mixtures and tokenizers are beyond SQL; tests compare with a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
