@@ -2,15 +2,18 @@
 
 1. Every document becomes its set of shingle hashes. Equal sets are one class; from here on classes are compared.
 2. Two linked sets share one of their n - ceil(percent * n / 100) + 1 first shingles in any common order. Rare shingles
-   come first: frequent ones are found by counting, and their order only steers the work. Classes that share such a
-   shingle are joined into candidate groups through the least class of each shingle, never pair by pair.
-3. Within a group a count-vector R-tree finds the pairs: shingles are hashed into GROUPS, the counts are a point, and a
-   node's summed coordinate minima with a query's point bound the overlap. Surviving pairs are verified on whole
-   sets. A group of more than LEAF classes is cut into leaves by hash, and every two leaves meet in a task of their own.
-4. Links spread to components, which lead back to documents.
+   come first: frequent ones are found by counting, and their order only steers the work.
+3. Shingles are hashed into GROUPS; the counts are a class's point in an R-tree, where a node's summed coordinate minima
+   with a query's point bound the overlap. Among the classes that share a first shingle such trees leave the pairs that
+   may link; they spread to candidate groups, through spanning links only, never pair by pair.
+4. Within a candidate group an R-tree proposes pairs again, and they are verified on whole sets.
+5. Links spread to components, which lead back to documents.
+
+A shingle's classes, or a candidate group, beyond the size of a leaf are cut into leaves by hash, and every two leaves
+meet in a task of their own.
 
 Classes and shingles are 64-bit hashes. Nulls: a null text is an empty one; a document without words is linked with
-nothing, nor is a null doc_id ever a component's id if another is there. Repeated rows share a class. An empty table
+nothing. A null doc_id takes its class's component; a class of null doc_ids alone is linked with no other and has none. Repeated rows share a class. An empty table
 gives an empty result; columns besides doc_id and text are not read."""
 
 from __future__ import annotations
@@ -26,11 +29,19 @@ from millrace.llm.common import documents, partitions, written
 from millrace.llm.graph import components
 from millrace.llm.words import chunks, mix, shingle_hashes, word_hashes
 
-#: Coordinates of a point.
-GROUPS = 32
+#: Coordinates of the point of a set of fewer than FINE shingles; four times as many for each fourfold size, so that
+#: chance differences of unlike sets stay beyond what the bound allows.
+GROUPS = 64
+FINE = 1000
 FANOUT = 16
+#: A count in a shuffled point that stands for this many or more: it bounds nothing.
+FULL = 255
 #: Classes, and shingles, in a leaf of a candidate group.
 LEAF = 800
+#: Classes of one shingle that meet in a task.
+SHARERS = 2000
+#: Buckets of the filter of doc_ids whose texts are needed: the most rows that are broadcast for it.
+FILTER = 1 << 18
 LEAF_SHINGLES = 1_000_000
 #: Frequent shingles that are ordered by their counts.
 FREQUENT = 1 << 15
@@ -105,13 +116,23 @@ class CountTree:
         return rows[kept], bound[kept]
 
 
-def linked(sets: list[np.ndarray], sides: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """Links that span every component of the sets. Sets of different sides are compared; with one side, all are."""
-    m = len(sets)
-    sizes = np.array([len(s) for s in sets])
-    points = np.stack([np.bincount((s & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS) for s in sets])
+def groups_for(n: int) -> int:
+    groups, limit = GROUPS, FINE
+    while n >= limit:
+        groups, limit = groups * 4, limit * 4
+    return groups
+
+
+def point_of(shingles: np.ndarray, groups: int) -> np.ndarray:
+    return np.bincount((shingles & np.uint64(groups - 1)).astype(np.int64), minlength=groups)
+
+
+def spanning(points: np.ndarray, sizes: np.ndarray, sides: np.ndarray, percent: int, verify) -> list[tuple[int, int]]:
+    """Links that span every component. The tree proposes rows for each row; verify(i, rows) tells which of them link.
+    Rows of different sides are compared; with one side, all are. Rows that are connected already are not compared."""
+    m = len(sizes)
     tree, crossing = CountTree(points, sizes), len(set(sides.tolist())) > 1
-    root = np.arange(m)  # every set's component, kept flat
+    root = np.arange(m)  # every row's component, kept flat
     members: dict[int, list[int]] = {i: [i] for i in range(m)}
     links = []
     for i in range(m):
@@ -122,11 +143,7 @@ def linked(sets: list[np.ndarray], sides: np.ndarray, percent: int) -> list[tupl
         rows = rows[use][np.argsort(-bounds[use], kind="stable")]
         while len(rows := rows[root[rows] != root[i]]):
             some, rows = rows[:64], rows[64:]
-            whole = np.concatenate([sets[j] for j in some])
-            at = np.minimum(np.searchsorted(sets[i], whole), len(sets[i]) - 1)
-            starts = np.concatenate([[0], np.cumsum(sizes[some])[:-1]])
-            overlap = np.add.reduceat((sets[i][at] == whole).astype(np.int64), starts)
-            for j in some[(100 + percent) * overlap >= percent * (sizes[i] + sizes[some])].tolist():
+            for j in some[verify(i, some)].tolist():
                 a, b = int(root[i]), int(root[j])
                 if a != b:
                     links.append((i, j))
@@ -137,6 +154,93 @@ def linked(sets: list[np.ndarray], sides: np.ndarray, percent: int) -> list[tupl
     return links
 
 
+def linked(sets: list[np.ndarray], sides: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Spanning links of sets, verified on whole sets."""
+    sizes = np.array([len(s) for s in sets])
+
+    def verify(i: int, rows: np.ndarray) -> np.ndarray:
+        whole = np.concatenate([sets[j] for j in rows])
+        at = np.minimum(np.searchsorted(sets[i], whole), len(sets[i]) - 1)
+        starts = np.concatenate([[0], np.cumsum(sizes[rows])[:-1]])
+        overlap = np.add.reduceat((sets[i][at] == whole).astype(np.int64), starts)
+        return (100 + percent) * overlap >= percent * (sizes[i] + sizes[rows])
+
+    groups = groups_for(int(sizes.max()))
+    return spanning(np.stack([point_of(s, groups) for s in sets]), sizes, sides, percent, verify)
+
+
+def _by_block(batches: Iterator[pa.RecordBatch], key: tuple[str, ...], rows_of, links_of) -> Iterator[pa.RecordBatch]:
+    """Edges (a, b) of each block of consecutive rows with one key. rows_of(batch) gives (side, cls, row) of every row."""
+    block, ids, sides, held = None, [], [], []
+
+    def edges() -> list[tuple[int, int]]:
+        found = [(ids[a], ids[b]) for a, b in links_of(held, np.array(sides))] if len(held) > 1 else []
+        for x in (ids, sides, held):
+            x.clear()
+        return found
+
+    def batch_of(found) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+    for batch in batches:
+        out = []
+        for now, (side, cls, row) in zip(zip(*(batch.column(c).to_pylist() for c in key), strict=True), rows_of(batch), strict=True):
+            if now != block:
+                out += edges()
+                block = now
+            if row is None:
+                continue
+            ids.append(cls)
+            sides.append(side)
+            held.append(row)
+        if out:
+            yield batch_of(out)
+    yield batch_of(edges())
+
+
+def _proposed(percent: int):
+    """Spanning links among the classes of each shingle that their points allow."""
+
+    def rows_of(batch: pa.RecordBatch):
+        rows = zip(batch.column("point").to_pylist(), batch.column("n").to_pylist(), strict=True)
+        return zip(batch.column("leaf").to_pylist(), batch.column("cls").to_pylist(), rows, strict=True)
+
+    def links_of(rows, sides):
+        """Level by level: sets with as many coordinates, and those just beyond, folded to as many."""
+        links, widths, sizes = [], np.array([len(r[0]) for r in rows]), np.array([r[1] for r in rows])
+        for width in np.unique(widths).tolist():
+            limit = FINE * width // GROUPS  # sets of this size and more have finer points
+            at = np.flatnonzero((widths == width) | ((widths == 4 * width) & (percent * sizes <= 100 * limit)))
+            if len(at) < 2:
+                continue
+            points = np.zeros((len(at), width), np.int64)
+            for k, i in enumerate(at):
+                point = np.frombuffer(rows[i][0], np.uint8).astype(np.int64)
+                point[point == FULL] = 1 << 40
+                points[k] = point.reshape(-1, width).sum(axis=0)
+            links += [(at[a], at[b]) for a, b in spanning(points, sizes[at], sides[at], percent, lambda i, found: np.ones(len(found), bool))]
+        return links
+
+    return lambda batches: _by_block(batches, ("key", "i", "j"), rows_of, links_of)
+
+
+def _verified(k: int, percent: int):
+    """Links of each block of a candidate group."""
+
+    def rows_of(batch: pa.RecordBatch):
+        for leaf, cls, s in zip(batch.column("leaf").to_pylist(), batch.column("cls").to_pylist(), sets_of(batch.column("text"), k), strict=True):
+            yield leaf, cls, s if len(s) and class_of(s) == cls else None  # a repeated doc_id can bring another text
+
+    return lambda batches: _by_block(batches, ("comp", "i", "j"), rows_of, lambda sets, sides: linked(sets, sides, percent))
+
+
+def _met(rows: DataFrame, key: str, *columns: str) -> DataFrame:
+    """rows (leaf, leaves and more) once for every leaf that theirs meets, in order of the blocks (key, i, j)."""
+    met = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("leaves") - 1)))
+    blocks = met.select(key, F.least("leaf", "other").alias("i"), F.greatest("leaf", "other").alias("j"), "leaf", *columns)
+    return blocks.repartition(partitions(rows.sparkSession), key, "i", "j").sortWithinPartitions(key, "i", "j", "leaf", "cls")
+
+
 def _frequent(k: int):
     """(shingle, count) of shingles that several documents of a block share."""
 
@@ -169,52 +273,18 @@ def _described(k: int, percent: int, frequent, counts):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot, often = frequent.value, counts.value
         for batch in batches:
-            sizes, classes, keys = [], [], []
+            sizes, classes, keys, points = [], [], [], []
             for s in sets_of(batch.column("text"), k):
                 sizes.append(len(s))
                 if not len(s):
                     classes.append(None)
                     keys.append(None)
+                    points.append(None)
                     continue
+                points.append(np.minimum(point_of(s, groups_for(len(s))), FULL).astype(np.uint8).tobytes())
                 classes.append(class_of(s))
                 keys.append(first_shingles(s, percent, hot, often).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "cls", "keys"])
-
-    return run
-
-
-def _verified(k: int, percent: int):
-    """Links of each (comp, i, j) block; rows come block by block."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = {"block": None}
-        ids: list[int] = []
-        sets: list[np.ndarray] = []
-        sides: list[int] = []
-
-        def links() -> list[tuple[int, int]]:
-            found = [(ids[a], ids[b]) for a, b in linked(sets, np.array(sides), percent)] if len(sets) > 1 else []
-            ids.clear()
-            sets.clear()
-            sides.clear()
-            return found
-
-        def batch_of(found) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
-
-        for batch in batches:
-            out = []
-            columns = [batch.column(c).to_pylist() for c in ("comp", "i", "j", "leaf", "cls")]
-            for comp, i, j, leaf, cls, s in zip(*columns, sets_of(batch.column("text"), k), strict=True):
-                if (comp, i, j) != held["block"]:
-                    out += links()
-                    held["block"] = (comp, i, j)
-                ids.append(cls)
-                sets.append(s)
-                sides.append(leaf)
-            if out:
-                yield batch_of(out)
-        yield batch_of(links())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(points, pa.binary())], names=["doc_id", "n_shingles", "cls", "keys", "point"])
 
     return run
 
@@ -228,24 +298,28 @@ def joined(docs: DataFrame, k: int, percent: int) -> DataFrame:
     hot = table["shingle"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(hot)
     send = spark.sparkContext.broadcast
-    described = written(texts.mapInArrow(_described(k, percent, send(hot[order]), send(table["n"].to_numpy(np.int64)[order])), "doc_id bigint, n_shingles bigint, cls bigint, keys array<bigint>"), "jaccard")
-
-    keyed = described.where(F.col("cls").isNotNull()).select("cls", F.explode("keys").alias("key"))
-    shared = keyed.groupBy("key").agg(F.min("cls").alias("least"), F.max("cls").alias("most")).where(F.col("least") != F.col("most")).select("key", "least")
-    stars = keyed.join(shared, "key").where(F.col("cls") != F.col("least")).select(F.col("cls").alias("a"), F.col("least").alias("b"))
-    groups = written(components(stars).select(F.col("node").alias("cls"), F.col("component").alias("comp")), "groups")
-
-    classes = described.where(F.col("cls").isNotNull()).groupBy("cls").agg(F.min("doc_id").alias("first_id"), F.max("n_shingles").alias("n"))
-    members = groups.join(classes, "cls").where(F.col("first_id").isNotNull())
+    described = written(texts.mapInArrow(_described(k, percent, send(hot[order]), send(table["n"].to_numpy(np.int64)[order])), "doc_id bigint, n_shingles bigint, cls bigint, keys array<bigint>, point binary"), "jaccard")
+
+    # first shingles that several classes have; copies of one class are merged before the shuffle
+    some = described.where(F.col("cls").isNotNull())
+    keyed = some.select("cls", F.explode("keys").alias("key"))
+    repeated = keyed.groupBy("key").agg(F.count("*").alias("rows")).where("rows > 1").select("key")
+    sharing = written(keyed.join(repeated, "key").select("key", "cls").distinct(), "sharing")
+    shared = sharing.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key", F.ceil(F.col("m") / SHARERS).cast("int").alias("leaves"))
+    classes = written(some.groupBy("cls").agg(F.min("doc_id").alias("first_id"), F.max("n_shingles").alias("n"), F.max("point").alias("point")), "classes")
+    in_leaf = F.pmod(F.xxhash64("cls", F.lit(3)), F.col("leaves")).cast("int")
+    placed = sharing.join(shared, "key").join(classes.select("cls", "n", "point"), "cls").withColumn("leaf", in_leaf)
+    proposed = _met(placed, "key", "cls", "n", "point").mapInArrow(_proposed(percent), "a bigint, b bigint")
+    groups = written(components(proposed).select(F.col("node").alias("cls"), F.col("component").alias("comp")), "groups")
+
+    members = groups.join(classes.select("cls", "first_id", "n"), "cls").where(F.col("first_id").isNotNull())
     weights = members.groupBy("comp").agg(F.count("*").alias("rows"), F.sum("n").alias("weight"))
     leaves = F.greatest(F.ceil(F.col("rows") / LEAF), F.ceil(F.col("weight") / LEAF_SHINGLES)).cast("int")
-    leafed = members.join(weights.select("comp", leaves.alias("leaves")), "comp").withColumn("leaf", F.pmod(F.xxhash64("cls", F.lit(3)), F.col("leaves")).cast("int"))
-    rows = texts.join(leafed.select(F.col("first_id").alias("doc_id"), "cls", "comp", "leaf", "leaves"), "doc_id")
-    # a repeated doc_id may bring another text: only the class's own counts, and its copies once
-    met = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("leaves") - 1)))
-    blocks = met.select("comp", F.least("leaf", "other").alias("i"), F.greatest("leaf", "other").alias("j"), "leaf", "cls", "text")
-    ordered = blocks.repartition(partitions(spark), "comp", "i", "j").sortWithinPartitions("comp", "i", "j", "leaf", "cls")
-    links = written(ordered.mapInArrow(_verified(k, percent), "a bigint, b bigint"), "links")
+    leafed = written(members.join(weights.select("comp", leaves.alias("leaves")), "comp").withColumn("leaf", in_leaf).select(F.col("first_id").alias("doc_id"), "cls", "comp", "leaf", "leaves"), "members")
+    bucket = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER)).alias("bucket")
+    near = texts.withColumn("bucket", bucket).join(F.broadcast(leafed.select(bucket).distinct()), "bucket", "left_semi")
+    rows = near.select("doc_id", "text").join(leafed, "doc_id")
+    links = written(_met(rows, "comp", "cls", "text").mapInArrow(_verified(k, percent), "a bigint, b bigint"), "links")
 
     found = components(links)
     named = found.join(classes, F.col("node") == F.col("cls")).select("cls", "component", "first_id")
