@@ -20,55 +20,21 @@ from pyspark.sql import functions as F
 
 from millrace.llm.common import documents
 
-#: Distinct pre-tokens remembered by a worker; the memory is emptied when full and only saves time.
+#: Distinct pre-tokens that a worker remembers after a second sight, and those seen once. Each memory is emptied when full and only saves time.
 CACHE = 600_000
-WORD_LOG = 8
-WORD_MASK = (1 << WORD_LOG) - 1
+YOUNG = 300_000
 
 
 class RankQueue:
-    """Positions by rank; pops positions of the lowest rank, lowest position first within a rank. It is empty again once drained."""
+    """Buckets of positions by rank, under a bitmap of two levels: a bit per rank, and a bit per word of the level below.
+    Words have about the square root of the ranks as bits. Encoding.merge pushes and pops in line, for speed; a
+    queue that was drained is empty again."""
 
     def __init__(self, ranks: int):
-        self.levels: list[list[int]] = []  # level 0 has a bit per rank, each next one a bit per word below
-        while ranks > 1 or not self.levels:
-            ranks = -(-ranks >> WORD_LOG)
-            self.levels.append([0] * ranks)
+        self.log = max(1, (max(ranks - 1, 1).bit_length() + 1) // 2)
+        self.words = [0] * ((ranks >> self.log) + 1)
         self.buckets: dict[int, list[int]] = {}
-
-    def push(self, rank: int, position: int) -> None:
-        bucket = self.buckets.get(rank)
-        if bucket is not None:
-            bucket.append(position)
-            return
-        self.buckets[rank] = [position]
-        for level in self.levels:
-            word = rank >> WORD_LOG
-            before = level[word]
-            level[word] = before | 1 << (rank & WORD_MASK)
-            if before:
-                return
-            rank = word
-
-    def pop(self) -> tuple[int, list[int]] | None:
-        """The lowest rank and its positions in ascending order, or None."""
-        if not self.buckets:
-            return None
-        at = 0
-        for level in reversed(self.levels):
-            bits = level[at]
-            at = (at << WORD_LOG) + (bits & -bits).bit_length() - 1
-        rank = at
-        for level in self.levels:
-            word = at >> WORD_LOG
-            level[word] ^= 1 << (at & WORD_MASK)
-            if level[word]:
-                break
-            at = word
-        positions = self.buckets.pop(rank)
-        if len(positions) > 1:
-            positions.sort()
-        return rank, positions
+        self.bit_of = [1 << r for r in range(1 << self.log)]  # as many serve for words: there are no more of them
 
 
 class Encoding:
@@ -81,7 +47,8 @@ class Encoding:
         self.bytes_of = {rank: token for token, rank in ranks.items()}
         self.queue = RankQueue(max(ranks.values()) + 1)
         self.find = regex.compile(pattern).findall
-        self.cache: dict[str, tuple[str, int, tuple[int, ...]]] = {}
+        self.cache: dict[str, tuple[str, tuple[int, ...]]] = {}
+        self.young: dict[str, tuple[str, tuple[int, ...]]] = {}
 
     @classmethod
     def load(cls, path: str, pattern: str) -> Encoding:
@@ -95,18 +62,36 @@ class Encoding:
         if whole is not None:
             return [whole]
         n = len(piece)
-        after = list(range(1, n + 1))  # where the part at each position ends, n at the last
-        before = list(range(-1, n - 1))
+        queue, get = self.queue, ranks.get
+        log, words, buckets, bit_of = queue.log, queue.words, queue.buckets, queue.bit_of
+        mask, top = len(bit_of) - 1, 0
+        after = list(range(1, n + 2))  # where the part at each position ends; the end's own entry is never read as a part
+        before = list(range(-1, n))
         alive = bytearray(b"\1") * n
-        queue = self.queue
-        push, pop, get = queue.push, queue.pop, ranks.get
-        for i in range(n - 1):
-            rank = get(piece[i : i + 2])
-            if rank is not None:
-                push(rank, i)
-        while (found := pop()) is not None:
-            rank, positions = found
-            for i in positions:
+        fresh = [(rank, i) for i in range(n - 1) if (rank := get(piece[i : i + 2])) is not None]
+        while True:
+            for rank, i in fresh:  # push
+                if rank in buckets:
+                    buckets[rank].append(i)
+                    continue
+                buckets[rank] = [i]
+                word = rank >> log
+                words[word] |= bit_of[rank & mask]
+                top |= bit_of[word]
+            if not top:
+                break
+            word = (top & -top).bit_length() - 1  # find first set on each level
+            bits = words[word]
+            low = bits & -bits
+            words[word] = bits ^ low
+            if bits == low:
+                top &= top - 1
+            rank = (word << log) + low.bit_length() - 1
+            positions = buckets.pop(rank)
+            if len(positions) > 1:
+                positions.sort()
+            fresh = []
+            for k, i in enumerate(positions):
                 if not alive[i] or (middle := after[i]) == n:
                     continue
                 end = after[middle]
@@ -114,37 +99,45 @@ class Encoding:
                     continue  # stale: a neighbour has merged since
                 alive[middle] = 0
                 after[i] = end
-                if end < n:
-                    before[end] = i
-                    rank_next = get(piece[i : after[end]])
-                    if rank_next is not None:
-                        push(rank_next, i)
-                if i:
-                    left = before[i]
-                    rank_left = get(piece[left:end])
-                    if rank_left is not None:
-                        push(rank_left, left)
+                before[end] = i
+                least = rank + 1
+                if end < n and (merged := get(piece[i : after[end]])) is not None:
+                    fresh.append((merged, i))
+                    least = merged
+                if i and (merged := get(piece[before[i] : end])) is not None:
+                    fresh.append((merged, before[i]))
+                    least = min(least, merged)
+                if least <= rank:  # a new pair goes first: the rest of this bucket waits
+                    fresh += [(rank, j) for j in positions[k + 1 :]]
+                    break
         ids, i = [], 0
         while i < n:
             ids.append(ranks[piece[i : after[i]]])
             i = after[i]
         return ids
 
-    def _entry(self, token: str) -> tuple[str, int, tuple[int, ...]]:
-        if len(self.cache) >= CACHE:
-            self.cache.clear()
+    def _entry(self, token: str) -> tuple[str, tuple[int, ...]]:
+        entry = self.young.get(token)
+        if entry is not None:
+            if len(self.cache) >= CACHE:
+                self.cache.clear()
+            self.cache[token] = entry
+            return entry
         ids = self.merge(token.encode())
-        entry = (",".join(map(str, ids)), len(ids), tuple(ids))
+        entry = (str(ids)[1:-1].replace(" ", ""), tuple(ids))
         if len(token) <= 64:
-            self.cache[token] = entry
+            if len(self.young) >= YOUNG:
+                self.young.clear()
+            self.young[token] = entry
         return entry
 
-    def entries(self, text: str) -> list[tuple[str, int, tuple[int, ...]]]:
+    def entries(self, text: str) -> list[tuple[str, tuple[int, ...]]]:
+        """Every pre-token's ids, as decimal text and as numbers."""
         get, make = self.cache.get, self._entry
         return [get(t) or make(t) for t in self.find(text)]
 
     def encode(self, text: str) -> list[int]:
-        return [i for entry in self.entries(text) for i in entry[2]]
+        return [i for entry in self.entries(text) for i in entry[1]]
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
@@ -174,7 +167,7 @@ def _digests(path: str, pattern: str):
                 counts, ids_hash, text_hash = [], [], []
                 for text in part.column("text").to_pylist():
                     found = bpe.entries(text)
-                    ids = [i for entry in found for i in entry[2]]
+                    ids = [i for entry in found for i in entry[1]]
                     counts.append(len(ids))
                     ids_hash.append(hashlib.sha256(",".join([entry[0] for entry in found]).encode()).hexdigest())
                     text_hash.append(hashlib.sha256(bpe.decode(ids)).hexdigest())
