@@ -2,4 +2,7 @@
 
 from __future__ import annotations
 
-SPECS: dict = {}
+from millrace.plans import identity_plans, record_plans, score_plans, stats_plans, text_plans  # noqa: F401  they register
+from millrace.plans.spec import SPECS
+
+__all__ = ["SPECS"]
