@@ -22,7 +22,7 @@ def _demands(spark, sf_dir):
 _BREAK = """d AS (SELECT l_orderkey, CASE l_linenumber % 3 WHEN 0 THEN 'methods' WHEN 1 THEN 'skills' ELSE 'domain' END AS category,
   CASE l_linenumber % 3 WHEN 1 THEN 40 WHEN 0 THEN 35 ELSE 25 END AS points, CASE WHEN l_returnflag = 'N' THEN 50 ELSE 100 END AS w,
   CASE WHEN l_quantity > 30 THEN 100 WHEN l_quantity > 15 THEN 60 ELSE 0 END AS st FROM lineitem),
-b AS (SELECT l_orderkey, category, points AS possible, round_even(points * (sum(w * st / 100)::BIGINT)::DOUBLE / sum(w)::BIGINT, 1) AS earned, count(*) AS demands FROM d GROUP BY ALL)"""
+b AS (SELECT l_orderkey, category, points AS possible, round_even(points * (sum(w * st / 100)::BIGINT)::DOUBLE / sum(w)::BIGINT, 1) AS earned, count(*) AS demands FROM d GROUP BY l_orderkey, category, points)"""
 
 
 @query("score_breakdown", f"WITH {_BREAK} SELECT l_orderkey, category, possible, earned, demands FROM b")
@@ -30,7 +30,7 @@ def score_breakdown(spark, sf_dir):
     return scoring.breakdown(_demands(spark, sf_dir), "l_orderkey")
 
 
-_FINAL = f"""{_BREAK}, c AS (SELECT l_orderkey, round_even(least(greatest(10.0::DOUBLE * sum(round_even(earned * 10, 0)::BIGINT)::BIGINT / sum(possible)::BIGINT, 0.0), 100.0), 0)::INT AS coverage, sum(demands)::BIGINT AS evidence, count(*) AS active FROM b GROUP BY ALL),
+_FINAL = f"""{_BREAK}, c AS (SELECT l_orderkey, round_even(least(greatest(10.0::DOUBLE * sum(round_even(earned * 10, 0)::BIGINT)::BIGINT / sum(possible)::BIGINT, 0.0), 100.0), 0)::INT AS coverage, sum(demands)::BIGINT AS evidence, count(*) AS active FROM b GROUP BY l_orderkey),
 f AS (SELECT c.*, o_totalprice, o_orderstatus, o_orderpriority, CASE WHEN o_orderkey % 4 = 0 THEN NULL WHEN o_orderkey % 4 = 1 THEN 100 ELSE 0 END AS alignment FROM c JOIN orders ON o_orderkey = l_orderkey),
 g AS (SELECT *, CASE WHEN alignment IS NULL THEN coverage ELSE least(coverage, round_even(0.75::DOUBLE * coverage + 0.25::DOUBLE * alignment, 0)::INT) END AS focus FROM f),
 h AS (SELECT *, CASE WHEN focus > 50 THEN round_even(50 + (focus - 50) * least(evidence / 4.0::DOUBLE, 1.0), 0)::INT ELSE focus END AS score,
