@@ -27,7 +27,6 @@ ALPHA = 0.4
 #: Bytes of text in a block: a task holds about forty times as much in arrays.
 BLOCK_BYTES = 3 << 20
 TOTAL = np.uint64(0)  # stands for the count of all words
-BYTES = 7  # of each hash that are sent; the partition tells the rest or most of it
 
 
 class Block:
@@ -45,7 +44,7 @@ class Block:
         two = mix(self.words[self.second - 1] * factors[2] + self.words[self.second] * factors[3])
         every = np.concatenate([one, two, [TOTAL]])
         self.grams, self.inverse, self.counts = np.unique(every, return_inverse=True, return_counts=True)
-        self.counts = self.counts.astype(np.uint32)
+        self.counts = self.counts.astype(np.int64)
         self.counts[self.inverse[-1]] = len(self.words)
 
     def own(self, gram: np.ndarray, doc: np.ndarray) -> np.ndarray:
@@ -77,16 +76,39 @@ def _cuts(grams: np.ndarray, buckets: int) -> np.ndarray:
     return np.searchsorted(home, np.arange(buckets + 1, dtype=np.uint64))
 
 
-def _pack(grams: np.ndarray) -> bytes:
-    return grams.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :BYTES].tobytes()
+def _pack(values: np.ndarray) -> bytes:
+    """Ascending 64-bit values: width of a difference in bytes, the first value, the differences."""
+    steps = np.diff(values)
+    width = (int(steps.max()).bit_length() + 7) // 8 if len(steps) else 0
+    return bytes([width]) + values[:1].astype("<u8").tobytes() + _narrow(steps, width)
 
 
 def _unpack(raw: bytes) -> np.ndarray:
-    out = np.zeros((len(raw) // BYTES, 8), np.uint8)
-    out[:, :BYTES] = np.frombuffer(raw, np.uint8).reshape(-1, BYTES)
+    return np.cumsum(np.concatenate([np.frombuffer(raw, "<u8", 1, 1), _wide(raw[9:], raw[0])]), dtype=np.uint64)
+
+
+def _narrow(values: np.ndarray, width: int) -> bytes:
+    """The low bytes of 64-bit values, byte planes one after another: like bytes lie together and compress."""
+    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
+
+
+def _wide(raw: bytes, width: int) -> np.ndarray:
+    n = len(raw) // width if width else 0
+    out = np.zeros((n, 8), np.uint8)
+    if n:
+        out[:, :width] = np.frombuffer(raw, np.uint8).reshape(width, n).T
     return out.view("<u8").ravel()
 
 
+def _pack_counts(counts: np.ndarray) -> bytes:
+    width = (int(counts.max()).bit_length() + 7) // 8
+    return bytes([width]) + _narrow(counts, width)
+
+
+def _unpack_counts(raw: bytes) -> np.ndarray:
+    return _wide(raw[1:], raw[0]).astype(np.int64)
+
+
 def _one(table: pa.Table, column: str) -> pa.Array:
     found = table.column(column).combine_chunks()
     return found.combine_chunks() if isinstance(found, pa.ChunkedArray) else found
@@ -98,7 +120,7 @@ def _asked(buckets: int):
         cuts = _cuts(block.grams, buckets)
         full = np.flatnonzero(np.diff(cuts))
         grams = [_pack(block.grams[cuts[b] : cuts[b + 1]]) for b in full]
-        counts = [block.counts[cuts[b] : cuts[b + 1]].astype("<u4").tobytes() for b in full]
+        counts = [_pack_counts(block.counts[cuts[b] : cuts[b + 1]]) for b in full]
         return pa.table({"block": pa.array([table.column("block")[0].as_py()] * len(full), pa.int32()), "bucket": pa.array(full, pa.int32()), "grams": pa.array(grams, pa.binary()), "counts": pa.array(counts, pa.binary())})
 
     return run
@@ -107,11 +129,11 @@ def _asked(buckets: int):
 def _summed(table: pa.Table) -> pa.Table:
     """The count table of one bucket, joined to the n-grams that asked."""
     asked = [_unpack(x) for x in table.column("grams").to_pylist()]
-    own = np.concatenate([np.frombuffer(x, "<u4") for x in table.column("counts").to_pylist()])
+    own = np.concatenate([_unpack_counts(x) for x in table.column("counts").to_pylist()])
     _, inverse = np.unique(np.concatenate(asked), return_inverse=True)
     total = np.bincount(inverse, weights=own).astype(np.int64)  # exact below 2 ** 53
     ends = np.cumsum([len(a) for a in asked])
-    answers = [total[part].astype("<i8").tobytes() for part in np.split(inverse, ends[:-1])]
+    answers = [_pack_counts(total[part]) for part in np.split(inverse, ends[:-1])]
     return pa.table({"block": table.column("block"), "bucket": table.column("bucket"), "answers": pa.array(answers, pa.binary())})
 
 
@@ -122,7 +144,7 @@ def _scored(texts: pa.Table, answers: pa.Table) -> pa.Table:
     block = Block(_one(texts, "text"))
     order = np.argsort(answers.column("bucket").to_numpy())
     counts = answers.column("answers").to_pylist()
-    table = np.concatenate([np.frombuffer(counts[i], "<i8") for i in order])
+    table = np.concatenate([_unpack_counts(counts[i]) for i in order])
     sums, backed = block.scores(table)
     return pa.table({"doc_id": texts.column("doc_id"), "n_words": pa.array(block.sizes.astype(np.int64)), "n_backoff": pa.array(backed), "score_micro": pa.array(sums)})
 
