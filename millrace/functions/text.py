@@ -140,7 +140,7 @@ def unrepeated_lines(c: Column, noise: Column | None = None) -> Column:
 
 def joined_lines(c: Column) -> Column:
     """Wrapped lines joined until a sentence's end; bullets and headings start lines of their own."""
-    lines = F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), "\n"), F.trim), lambda x: x != "")
+    lines = F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), "\n"), lambda x: F.trim(x)), lambda x: x != "")
     step = lambda acc, x: F.when((acc == "") | acc.rlike(r"[.!?:]$") | x.rlike(r"^([-*•#]|[0-9]+[.)])"), F.concat(acc, F.when(acc == "", F.lit("")).otherwise(F.lit("\n")), x)).otherwise(F.concat(acc, F.lit(" "), x))
     return F.aggregate(lines, F.lit(""), step)
 
@@ -221,7 +221,7 @@ def distinct_terms(c: Column, stop: tuple[str, ...] = (), least: int = 2) -> Col
 def sentences(c: Column) -> Column:
     """Trimmed non-empty units, split at lines and behind . ! ?"""
     marked = F.regexp_replace(F.coalesce(c, F.lit("")), r"([.!?])\s+", "$1\n")
-    return F.filter(F.transform(F.split(marked, "\n"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(marked, "\n"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def accents_stripped(c: Column) -> Column:

@@ -130,7 +130,7 @@ def flags(c: Column, rules: Mapping[str, Sequence[str]]) -> Column:
 
 def snippets(c: Column, words: Sequence[str], limit: int = 3, width: int = 180) -> Column:
     """For each word the first line that has it, cut to width; distinct, at most limit."""
-    rows = F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), "\n"), F.trim), lambda x: x != "")
+    rows = F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), "\n"), lambda x: F.trim(x)), lambda x: x != "")
     having = lambda w: F.filter(rows, lambda x: F.lower(x).contains(w))
     first = [F.get(having(w), F.lit(0)) for w in words]
     return F.slice(F.array_distinct(F.array_compact(F.array(*[F.substring(x, 1, width) for x in first]))), 1, limit)

@@ -33,7 +33,7 @@ def header(text: Column, name: str, mode: str = "first", default: str = "") -> C
     first: the first value that is neither empty nor `not provided`; strict: the first line's value, whatever it is;
     last: the last line's value; blank: the first line's value, `not provided` as ''."""
     top = F.element_at(F.split(F.coalesce(text, F.lit("")), r"\n##\s"), 1)
-    values = F.transform(F.regexp_extract_all(top, F.lit(rf"(?mi)^{name}:[ \t]*(.*)$"), F.lit(1)), F.trim)
+    values = F.transform(F.regexp_extract_all(top, F.lit(rf"(?mi)^{name}:[ \t]*(.*)$"), F.lit(1)), lambda x: F.trim(x))
     if mode == "first":
         values = F.filter(values, lambda v: (v != "") & (F.lower(v) != NOT_PROVIDED))
     found = F.get(values, F.size(values) - 1) if mode == "last" else F.get(values, F.lit(0))
