@@ -16,8 +16,8 @@ import numpy as np
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Words kept after a second sight, and words seen once.
-OLD_WORDS = 300_000
-YOUNG_WORDS = 150_000
+OLD_WORDS = 500_000
+YOUNG_WORDS = 450_000
 _IRREGULAR = re.compile(r"[^\S \n]|[ \n]{2}|\A\s|\s\Z")
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 
