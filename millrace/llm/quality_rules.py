@@ -2,8 +2,13 @@
 
 Each document gets counts over its whole text. Mergeable KLL quantile sketches of the derived ratios
 are kept per language and source, merged per language and for the corpus, and give upper fences
-(third quartile plus a multiple of the spread, never below a floor); the fences are joined to the
-documents, which are kept if they pass the base rule and every fence.
+(a quantile plus a multiple of the distance between two, both the group's own); the fences are joined
+to the documents, which are kept if they pass the base rule and every fence.
+
+Ratios that are zero for most documents are sketched as (n + 1) / (whole + 1): the quantiles then tell how
+small a ratio the group's documents can show at all, and a fence is never zero. Documents are judged by n / whole.
+Sketches of more than SKETCH rows are approximate (ranks within about 0.5 percent) and draw at random:
+verdicts right at a fence may differ between runs.
 
 Nulls: a null text has no words and fails the base rule; null lang or source form their own groups.
 Ties and repeated rows are judged alike, row by row. An empty table gives an empty result."""
@@ -25,20 +30,31 @@ WINDOW = 5
 
 @dataclass(frozen=True)
 class Fence:
-    """A ratio whose values beyond q3 + spread * (q3 - q1), floor at least, are rejected. ceiling: the fence never lies above it."""
+    """Of the ratio count / whole, values beyond high + spread * (high - low) are rejected; low and high are the group's quantiles of (count + extra) / (whole + extra). ceiling: for groups that are junk by a quarter or more, the fence never lies above it."""
 
     name: str
+    count: str
+    whole: str
+    extra: int
+    low: float
+    high: float
     spread: float
-    floor: float
     ceiling: float
 
+    def ratio(self, extra: int = 0) -> Column:
+        return (F.col(self.count) + extra) / F.greatest(F.col(self.whole) + extra, F.lit(1))
+
 
 FENCES = (
-    Fence("symbol_ratio", 6.0, 0.03, 0.30),
-    Fence("upper_ratio", 6.0, 0.20, 0.60),
-    Fence("dup_line_ratio", 6.0, 0.30, 0.80),
-    Fence("word_length", 6.0, 12.0, 40.0),
+    Fence("symbol_ratio", "n_symbols", "word_chars", 1, 0.25, 0.75, 6.0, 0.30),
+    Fence("upper_ratio", "n_upper", "word_chars", 1, 0.25, 0.75, 6.0, 0.60),
+    Fence("dup_line_ratio", "n_dup_lines", "n_lines", 1, 0.25, 0.50, 3.0, 0.80),
+    Fence("word_length", "word_chars", "n_words", 0, 0.25, 0.75, 6.0, 40.0),
 )
+#: Where documents are all alike, high - low counts as this share of high at least.
+LEAST_SPREAD = 0.025
+#: Size parameter of the sketches.
+SKETCH = 800
 #: Groups with fewer rows than this take the fence of their language, and languages that of the corpus.
 MIN_GROUP = 50
 RATIOS = tuple(f.name for f in FENCES)
@@ -91,29 +107,19 @@ def base_failed() -> Column:
     return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
 
 
-def _ratios() -> dict[str, Column]:
-    words, chars = F.greatest(F.col("n_words"), F.lit(1)), F.greatest(F.col("word_chars"), F.lit(1))
-    return {
-        "symbol_ratio": F.col("n_symbols") / chars,
-        "upper_ratio": F.col("n_upper") / chars,
-        "dup_line_ratio": F.col("n_dup_lines") / F.greatest(F.col("n_lines"), F.lit(1)),
-        "word_length": F.col("word_chars") / words,
-    }
-
-
 def fences(measures: DataFrame) -> DataFrame:
     """One row per (lang_key, source_key): its fences. Sketches are merged from sources to languages to the corpus."""
-    sketch = [F.kll_sketch_agg_double(c).alias(c) for c in RATIOS]
+    sketch = [F.kll_sketch_agg_double(f.ratio(f.extra), SKETCH).alias(f.name) for f in FENCES]
     by_source = measures.where(~F.col("base_failed")).groupBy("lang_key", "source_key").agg(F.count("*").alias("rows"), *sketch)
-    merge = [F.kll_merge_agg_double(c).alias(c) for c in RATIOS]
+    merge = [F.kll_merge_agg_double(c, SKETCH) for c in RATIOS]
     by_lang = by_source.groupBy("lang_key").agg(F.sum("rows").alias("lang_rows"), *[m.alias(f"lang_{c}") for m, c in zip(merge, RATIOS, strict=True)])
     by_all = by_lang.select(*[F.col(f"lang_{c}").alias(c) for c in RATIOS]).groupBy().agg(*[m.alias(f"all_{c}") for m, c in zip(merge, RATIOS, strict=True)])
     near = by_source.join(by_lang, "lang_key").join(F.broadcast(by_all))  # by_all is a single row
     sized = lambda c: F.when(F.col("rows") >= MIN_GROUP, F.col(c)).when(F.col("lang_rows") >= MIN_GROUP, F.col(f"lang_{c}")).otherwise(F.col(f"all_{c}"))
 
     def fence(f: Fence) -> Column:
-        q1, q3 = (F.kll_sketch_get_quantile_double(sized(f.name), F.lit(q)) for q in (0.25, 0.75))
-        return F.least(F.greatest(q3 + f.spread * (q3 - q1), F.lit(f.floor)), F.lit(f.ceiling)).alias(f"{f.name}_fence")
+        low, high = (F.kll_sketch_get_quantile_double(sized(f.name), F.lit(q)) for q in (f.low, f.high))
+        return F.least(high + f.spread * F.greatest(high - low, high * LEAST_SPREAD), F.lit(f.ceiling)).alias(f"{f.name}_fence")
 
     return near.select("lang_key", "source_key", *[fence(f) for f in FENCES])
 
@@ -121,7 +127,7 @@ def fences(measures: DataFrame) -> DataFrame:
 def judged(docs: DataFrame) -> DataFrame:
     """docs without text, with counts, ratios, fences, base_failed and kept. Needs text, lang and source; written once to the shared folder between the two passes."""
     key = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit(""))  # noqa: E731  null apart from every value
-    measures = measured(docs).withColumns({"lang_key": key("lang"), "source_key": key("source"), "base_failed": base_failed()}).withColumns(_ratios())
+    measures = measured(docs).withColumns({"lang_key": key("lang"), "source_key": key("source"), "base_failed": base_failed()}).withColumns({f.name: f.ratio() for f in FENCES})
     measures = written(measures, "quality")
     passed = [F.col(f.name) <= F.col(f"{f.name}_fence") for f in FENCES]
     verdict = ~F.col("base_failed") & F.coalesce(passed[0] & passed[1] & passed[2] & passed[3], F.lit(True))

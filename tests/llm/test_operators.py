@@ -353,6 +353,27 @@ def test_quality_counts_and_verdicts(spark):
     assert quality_rules.judged(odd(spark).drop("n", "kept").limit(0)).count() == 0
 
 
+def test_quality_fences_come_from_the_groups(spark):
+    from millrace.llm import quality_rules as q
+
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text", "lang", "source")
+    rows = [r for r in q.judged(docs).collect() if not r.base_failed]
+    sizes = collections.Counter((r.lang, r.source) for r in rows)
+    group = max(sizes, key=lambda g: (sizes[g], str(g)))
+    decided = 0
+    for f in q.FENCES:
+        fence = {(r.lang, r.source): r[f"{f.name}_fence"] for r in rows}
+        own = [fence[g] for g, n in sizes.items() if n >= q.MIN_GROUP]
+        assert len({round(x, 9) for x in own}) >= 10 and 0 < min(own) and max(own) < f.ceiling
+        values = [(r[f.count] + f.extra) / (r[f.whole] + f.extra) for r in rows if (r.lang, r.source) == group]
+        low, high = np.quantile(values, [f.low, f.high], method="inverted_cdf")
+        assert abs(fence[group] - (high + f.spread * max(high - low, high * q.LEAST_SPREAD))) < 0.05 * fence[group]
+        middle = sorted(fence.values())[len(fence) // 2]
+        decided += sum((r[f.name] > fence[r.lang, r.source]) != (r[f.name] > middle) for r in rows)
+    assert decided >= 5  # verdicts that one fence for all groups would not give
+    assert all(r.kept == all(r[f.name] <= r[f"{f.name}_fence"] for f in q.FENCES) for r in rows)
+
+
 def test_lm_scores_match_duckdb(spark):
     from compare import compare
 
