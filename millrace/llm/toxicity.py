@@ -3,10 +3,12 @@
 A word is the sum of hashed embeddings of itself and of its first four and five bytes (ASCII case folded, ASCII
 punctuation apart). Filters of widths 1, 2 and 3 run over the whole text, max pooling keeps each filter's strongest
 answer, and a linear layer gives the logit. Embeddings start from the classes' log-odds and are trained, like
-the filters, by stochastic gradients through the pooled positions. Thresholds are calibrated on rows kept apart, by
-the language that the text itself shows, and are shifted to 0.5.
+the filters, by stochastic gradients through the pooled positions. Thresholds are calibrated by the language that the
+text itself shows, and are shifted to 0.5.
 
-The classifier learns from a bounded sample: about TOXIC_ROWS toxic and CLEAN_ROWS other labelled documents.
+The classifier learns from a bounded sample: about TOXIC_ROWS toxic and CLEAN_ROWS other labelled documents, less one in
+APART. Thresholds come from histograms of the logits of all other labelled rows outside the held-out ones, where each
+class weighs as much as it does among all of them.
 
 Nulls: a null text is an empty one, scored by the bias alone; a null doc_id is kept and never learnt from; null labels
 teach nothing. Without both classes among the learning rows every score is 0. Repeated rows are scored one by one. An
@@ -23,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import language_id
-from millrace.llm.common import crc_mod, documents
+from millrace.llm.common import crc_mod, documents, written
 from millrace.llm.words import LOWER, PIECE, SPACE, hash_piece, mix, pieces
 
 TOXIC_ROWS = 1200
@@ -34,8 +36,11 @@ FILTERS = 12
 WIDTHS = (1, 2, 3)
 PREFIXES = (4, 5)
 EPOCHS = 6
-#: Every how manieth learning row calibrates instead.
+#: One of so many labelled documents, by hash, never trains and only calibrates.
 APART = 4
+#: Histogram bins of a logit unit, and where logits are clipped.
+BINS = 50
+FAR = 30
 
 _BREAK = SPACE.copy()
 _BREAK[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
@@ -95,11 +100,6 @@ class Classifier:
             top = np.maximum(top, self.pooled(buckets[i : i + step + max(WIDTHS) - 1])[0])
         return float(top @ self.weights + self.bias)
 
-    def score(self, data: np.ndarray) -> float:
-        lang = likeliest(self.languages, data)
-        shifted = self.logit(data) - self.thresholds.get(lang, self.thresholds.get("", 0.0))
-        return float(1 / (1 + np.exp(-np.clip(shifted, -30, 30))))
-
 
 def likeliest(languages: language_id.Mixture, data: np.ndarray) -> str:
     """The single language that fits best; "" without languages or text."""
@@ -173,74 +173,114 @@ def train(rows: list[np.ndarray], labels: np.ndarray, languages: language_id.Mix
     return model
 
 
-def _best_cut(logits: np.ndarray, labels: np.ndarray) -> float:
-    """The logit from which calling a row toxic gives the highest F1; between the rows on either side of it."""
-    order = np.argsort(-logits, kind="stable")
-    hits = np.cumsum(labels[order])
-    f1 = 2 * hits / (np.arange(1, len(order) + 1) + labels.sum())
+def _best_cut(bins: np.ndarray, toxic: np.ndarray, clean: np.ndarray) -> float:
+    """The logit from which calling a row toxic gives the highest F1; between the bins on either side of it. toxic, clean: weights by bin."""
+    seen = np.flatnonzero(toxic + clean)
+    order = seen[np.argsort(-bins[seen], kind="stable")]
+    hits = np.cumsum(toxic[order])
+    f1 = 2 * hits / (np.cumsum(toxic[order] + clean[order]) + toxic.sum())
     k = int(np.argmax(f1))
-    low = logits[order[k + 1]] if k + 1 < len(order) else logits[order[k]] - 1
-    return float((logits[order[k]] + low) / 2)
+    low = bins[order[k + 1]] if k + 1 < len(order) else bins[order[k]] - BINS
+    return float((bins[order[k]] + low) / 2 / BINS)
+
 
+def calibrate(model: Classifier, counts: dict[str, np.ndarray], trained: tuple[int, int] = (0, 0)) -> None:
+    """A threshold per language with enough toxic rows, drawn towards the common one by their number.
 
-def calibrate(model: Classifier, logits: np.ndarray, labels: np.ndarray, langs: list[str]) -> None:
-    """A threshold per language with enough toxic rows, drawn towards the common one by their number."""
-    if not labels.any() or labels.all():
+    counts: per language, rows by label and bin of the logit (2 x bins). trained: clean and toxic rows that are missing
+    there because they trained; the others of their class weigh for them."""
+    every = sum(counts.values(), np.zeros((2, 2 * FAR * BINS + 1)))
+    rows = every.sum(axis=1)
+    if not rows.all():
         return
-    common = _best_cut(logits, labels)
+    weights, bins = 1 + np.array(trained) / rows, np.arange(-FAR * BINS, FAR * BINS + 1)
+    cut = lambda c: _best_cut(bins, c[1] * weights[1], c[0] * weights[0])
+    common = cut(every)
     model.thresholds[""] = common
-    for lang in sorted(set(langs)):
-        mine = np.array([x == lang for x in langs])
-        toxic = int(labels[mine].sum())
-        if lang and toxic >= 5 and not labels[mine].all():
-            weight = toxic / (toxic + 20)
-            model.thresholds[lang] = weight * _best_cut(logits[mine], labels[mine]) + (1 - weight) * common
+    for lang, mine in sorted(counts.items()):
+        toxic = mine[1].sum()
+        if lang and toxic >= 5 and mine[0].any():
+            share = toxic / (toxic + 20)
+            model.thresholds[lang] = float(share * cut(mine) + (1 - share) * common)
 
 
 def _learning(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found = [features(data).tobytes() for data in language_id.texts(batch.column("text"))]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), batch.column("text"), pa.array(found, pa.binary())], names=["doc_id", "toxic", "text", "found"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.array(found, pa.binary())], names=["doc_id", "toxic", "found"])
 
 
-def fit(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, clean_rows: int = CLEAN_ROWS) -> Classifier:
-    """Learns from labelled docs whose crc32(doc_id) mod 5 is not 0."""
+def trained(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, clean_rows: int = CLEAN_ROWS) -> tuple[Classifier, DataFrame, tuple[int, int]]:
+    """A classifier without thresholds, the labels (doc_id, toxic) that are left to calibrate it, and how many clean and toxic rows it learnt from.
+
+    Only labels of docs whose crc32(doc_id) mod 5 is not 0 are used."""
     known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & (crc_mod("doc_id", 5) != 0)).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
     sizes = {row["toxic"]: row["n"] for row in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}  # two rows
     chance = (F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1 << 20)) + 0.5) / float(1 << 20)
     wanted = F.when(F.col("toxic") == 1, toxic_rows / max(1, sizes.get(1, 0))).otherwise(clean_rows / max(1, sizes.get(0, 0)))
-    sample = known.where(chance < wanted)  # about toxic_rows + clean_rows rows: bounded, so it may be broadcast
+    trains = (chance < wanted) & (F.pmod(F.xxhash64("doc_id", F.lit(23)), F.lit(APART)) != 0)
+    sample = known.where(trains)  # fewer than toxic_rows + clean_rows rows: bounded, so it may be broadcast
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(sample), "doc_id")
-    table = rows.mapInArrow(_learning, "doc_id bigint, toxic int, text string, found binary").toPandas().sort_values(["doc_id", "toxic", "text"])
+    table = rows.mapInArrow(_learning, "doc_id bigint, toxic int, found binary").toPandas().sort_values(["doc_id", "toxic", "found"])
     languages = language_id.fit(docs, 5, 0, 400)
     found = [np.frombuffer(x, np.int32).reshape(-1, 1 + len(PREFIXES)) for x in table["found"]]
     marks = table["toxic"].to_numpy(int)
     if len(set(marks.tolist())) < 2:
         many = len(WIDTHS) * FILTERS
-        return Classifier(np.zeros((1 << LOG_BUCKETS, DIM), np.float32), [np.zeros((k, DIM, FILTERS), np.float32) for k in WIDTHS], np.zeros(many, np.float32), np.zeros(many, np.float32), -100.0, languages)
-    apart = np.arange(len(found)) % APART == 0
-    model = train([f for f, a in zip(found, apart, strict=True) if not a], marks[~apart], languages)
-    held = [np.frombuffer(t.encode(), np.uint8) for t, a in zip(table["text"], apart, strict=True) if a]
-    calibrate(model, np.array([model.logit(d) for d in held]), marks[apart], [likeliest(languages, d) for d in held])
-    return model
+        model = Classifier(np.zeros((1 << LOG_BUCKETS, DIM), np.float32), [np.zeros((k, DIM, FILTERS), np.float32) for k in WIDTHS], np.zeros(many, np.float32), np.zeros(many, np.float32), -100.0, languages)
+        return model, known.limit(0), (0, 0)
+    toxic = int(marks.sum())
+    return train(found, marks, languages), known.where(~trains), (len(marks) - toxic, toxic)
 
 
-def scored(docs: DataFrame, model: Classifier) -> DataFrame:
-    """(doc_id, score) of every row of docs (doc_id, text)."""
+def measured(docs: DataFrame, model: Classifier) -> DataFrame:
+    """(doc_id, logit, shown) of every row of docs (doc_id, text): shown is the language of the text."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 2 ** LOG_BUCKETS x DIM numbers and the languages
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classifier = shared.value
         for batch in batches:
-            scores = [classifier.score(data) for data in language_id.texts(batch.column("text"))]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores, pa.float64())], names=["doc_id", "score"])
+            found = [(classifier.logit(data), likeliest(classifier.languages, data)) for data in language_id.texts(batch.column("text"))]
+            columns = [pa.array([f[0] for f in found], pa.float64()), pa.array([f[1] for f in found], pa.string())]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], names=["doc_id", "logit", "shown"])
 
     texts = docs.select(F.col("doc_id").cast("bigint"), F.coalesce("text", F.lit("")).alias("text"))
-    return texts.mapInArrow(run, "doc_id bigint, score double")
+    return texts.mapInArrow(run, "doc_id bigint, logit double, shown string")
+
+
+def histograms(logits: DataFrame, labels: DataFrame) -> dict[str, np.ndarray]:
+    """Per language, rows by label and bin. Counts are summed by the executors; 2 x bins numbers a language at most reach the driver."""
+    at = F.floor(F.greatest(F.least("logit", F.lit(float(FAR))), F.lit(float(-FAR))) * BINS).cast("int")
+    counts = logits.join(labels, "doc_id").groupBy("shown", "toxic", at.alias("at")).agg(F.count("*").alias("n")).collect()
+    out: dict[str, np.ndarray] = {}
+    for row in counts:
+        out.setdefault(row["shown"], np.zeros((2, 2 * FAR * BINS + 1)))[row["toxic"], row["at"] + FAR * BINS] = row["n"]
+    return out
+
+
+def fit(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, clean_rows: int = CLEAN_ROWS) -> Classifier:
+    """Learns from labelled docs whose crc32(doc_id) mod 5 is not 0."""
+    model, rest, learnt = trained(docs, labels, toxic_rows, clean_rows)
+    calibrate(model, histograms(measured(docs, model), rest), learnt)
+    return model
+
+
+def _shifted(logits: DataFrame, model: Classifier) -> DataFrame:
+    common = F.lit(float(model.thresholds.get("", 0.0)))
+    cuts = [x for lang, cut in sorted(model.thresholds.items()) for x in (F.lit(lang), F.lit(float(cut)))]
+    cut = F.coalesce(F.create_map(*cuts)[F.col("shown")], common) if cuts else common
+    return logits.select("doc_id", (1 / (1 + F.exp(-F.greatest(F.least(F.col("logit") - cut, F.lit(30.0)), F.lit(-30.0))))).alias("score"))
+
+
+def scored(docs: DataFrame, model: Classifier) -> DataFrame:
+    """(doc_id, score) of every row of docs (doc_id, text)."""
+    return _shifted(measured(docs, model), model)
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    model = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    model, rest, learnt = trained(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    logits = written(measured(docs, model), "toxicity")  # read twice
+    calibrate(model, histograms(logits, rest), learnt)
     held_out = F.coalesce(crc_mod("doc_id", 5) == 0, F.lit(False))
-    return scored(docs, model).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return _shifted(logits, model).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

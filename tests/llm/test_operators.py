@@ -152,6 +152,29 @@ def test_toxicity_on_held_out_rows(spark):
     assert toxicity.scored(odd(spark).limit(0), none).count() == 0
 
 
+def test_toxicity_thresholds_cover_all_labels(spark):
+    from millrace.llm import toxicity
+
+    sf = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    known = {r.doc_id: r.toxic for r in labels.where("toxic in (0, 1)").collect() if zlib.crc32(str(r.doc_id).encode()) % 5}
+    model, rest, learnt = toxicity.trained(docs, labels, 30, 60)
+    counts = toxicity.histograms(toxicity.measured(docs, model), rest)
+    rows = sum(c.sum(axis=1) for c in counts.values())
+    assert sum(learnt) < 90 and all(rows[x] + learnt[x] == sum(t == x for t in known.values()) for x in (0, 1))
+
+    def cut(share, trained):
+        """Toxic logits around 2, clean ones around 0."""
+        c, rng = np.zeros((2, 2 * toxicity.FAR * toxicity.BINS + 1)), np.random.default_rng(1)
+        for label, n in ((0, 20000), (1, round(20000 * share))):
+            np.add.at(c[label], np.floor(rng.normal(2 * label, 1, n) * toxicity.BINS).astype(int) + toxicity.FAR * toxicity.BINS, 1)
+        toxicity.calibrate(model, {"x": c}, trained)
+        return model.thresholds["x"]
+
+    # where most clean rows trained, the rest stands for them: the cut is that of the true mixture, not of what is left
+    assert abs(cut(0.5, (80000, 0)) - cut(0.1, (0, 0))) < 0.2 < cut(0.1, (0, 0)) - cut(0.5, (0, 0))
+
+
 def components(rows, k, percent):
     sets = [set(sequence(t, k)) for _, t in rows]
     root = list(range(len(rows)))
