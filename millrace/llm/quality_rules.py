@@ -5,13 +5,20 @@ are kept per language and source, merged per language and for the corpus, and gi
 (a quantile plus a multiple of the distance between two, both the group's own); the fences are joined
 to the documents, which are kept if they pass the base rule and every fence.
 
+A fence leans on the wider group's by weight, at every size alike: a language's is (rows * own + PRIOR_ROWS * corpus's)
+/ (rows + PRIOR_ROWS), and a source's is drawn to its language's in the same way. So a source of a few rows has nearly its
+language's fences, one of thousands nearly its own. There are no floors. Ceilings are for groups that are junk by a quarter
+or more, whose quantiles tell nothing: each is a parameter of its rule, and binds the group's own fence before the weighting.
+
 Ratios that are zero for most documents are sketched as (n + 1) / (whole + 1): the quantiles then tell how
 small a ratio the group's documents can show at all, and a fence is never zero. Documents are judged by n / whole.
 Sketches of more than SKETCH rows are approximate (ranks within about 0.5 percent) and draw at random:
 verdicts right at a fence may differ between runs.
 
-Nulls: a null text has no words and fails the base rule; null lang or source form their own groups.
-Ties and repeated rows are judged alike, row by row. An empty table gives an empty result."""
+Nulls: a null text has no words and fails the base rule; null lang or source form their own groups; a null doc_id is kept.
+Ties and repeated rows are judged alike, row by row. An empty table gives an empty result. A group without a row that
+passes the base rule has no fences; its rows fail anyway. Very long texts are counted whole, with arrays of their words.
+Extra columns stay as they are; one whose name is a column's that is added here (counts, ratios, fences, verdicts) is an error."""
 
 from __future__ import annotations
 
@@ -55,8 +62,8 @@ FENCES = (
 LEAST_SPREAD = 0.025
 #: Size parameter of the sketches.
 SKETCH = 800
-#: Groups with fewer rows than this take the fence of their language, and languages that of the corpus.
-MIN_GROUP = 50
+#: Rows that the fence of the wider group counts for in a group's own.
+PRIOR_ROWS = 50
 RATIOS = tuple(f.name for f in FENCES)
 
 
@@ -113,19 +120,30 @@ def fences(measures: DataFrame) -> DataFrame:
     by_source = measures.where(~F.col("base_failed")).groupBy("lang_key", "source_key").agg(F.count("*").alias("rows"), *sketch)
     merge = [F.kll_merge_agg_double(c, SKETCH) for c in RATIOS]
     by_lang = by_source.groupBy("lang_key").agg(F.sum("rows").alias("lang_rows"), *[m.alias(f"lang_{c}") for m, c in zip(merge, RATIOS, strict=True)])
-    by_all = by_lang.select(*[F.col(f"lang_{c}").alias(c) for c in RATIOS]).groupBy().agg(*[m.alias(f"all_{c}") for m, c in zip(merge, RATIOS, strict=True)])
+    by_all = by_lang.groupBy().agg(*[F.kll_merge_agg_double(f"lang_{c}", SKETCH).alias(f"all_{c}") for c in RATIOS])
     near = by_source.join(by_lang, "lang_key").join(F.broadcast(by_all))  # by_all is a single row
-    sized = lambda c: F.when(F.col("rows") >= MIN_GROUP, F.col(c)).when(F.col("lang_rows") >= MIN_GROUP, F.col(f"lang_{c}")).otherwise(F.col(f"all_{c}"))
 
-    def fence(f: Fence) -> Column:
-        low, high = (F.kll_sketch_get_quantile_double(sized(f.name), F.lit(q)) for q in (f.low, f.high))
-        return F.least(high + f.spread * F.greatest(high - low, high * LEAST_SPREAD), F.lit(f.ceiling)).alias(f"{f.name}_fence")
+    def own(f: Fence, of: str) -> Column:
+        low, high = (F.kll_sketch_get_quantile_double(F.col(of + f.name), F.lit(q)) for q in (f.low, f.high))
+        return F.least(high + f.spread * F.greatest(high - low, high * LEAST_SPREAD), F.lit(f.ceiling))
+
+    def leaning(rows: str, mine: Column, wider: Column) -> Column:
+        return (F.col(rows) * mine + PRIOR_ROWS * wider) / (F.col(rows) + PRIOR_ROWS)
+
+    fence = {f.name: leaning("rows", own(f, ""), leaning("lang_rows", own(f, "lang_"), own(f, "all_"))) for f in FENCES}
+    return near.select("lang_key", "source_key", *[c.alias(f"{name}_fence") for name, c in fence.items()])
+
 
-    return near.select("lang_key", "source_key", *[fence(f) for f in FENCES])
+def _added(extra: tuple[str, ...] = ()) -> set[str]:
+    counts = {"n_words", "word_chars", "n_symbols", "n_upper", "n_dup_lines", "n_repeat_words", "n_lines"}
+    return counts | {f.name for f in FENCES} | {f"{f.name}_fence" for f in FENCES} | {"base_failed", "kept", *extra}
 
 
 def judged(docs: DataFrame) -> DataFrame:
     """docs without text, with counts, ratios, fences, base_failed and kept. Needs text, lang and source; written once to the shared folder between the two passes."""
+    taken = {c.lower() for c in docs.columns} & _added(("_counts", "lang_key", "source_key"))
+    if taken:
+        raise ValueError(f"columns {sorted(taken)} are there already")
     key = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit(""))  # noqa: E731  null apart from every value
     measures = measured(docs).withColumns({"lang_key": key("lang"), "source_key": key("source"), "base_failed": base_failed()}).withColumns({f.name: f.ratio() for f in FENCES})
     measures = written(measures, "quality")
