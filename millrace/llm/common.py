@@ -19,20 +19,34 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. Where the session names none (tests on one machine), a temporary one is set."""
+    """The folder that driver and executors share. Only on one machine, where the session names none (tests), a temporary one is set."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="millrace-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
-def written(df: DataFrame, tag: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: it cuts lineage, survives lost executors and is computed once."""
+def stored(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
+    """df as a Parquet table in the shared folder, and its path: it cuts lineage, survives lost executors and is computed once."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def written(df: DataFrame, tag: str) -> DataFrame:
+    """df as a table that stays for the session's other plans."""
+    return stored(df, tag)[0]
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a stored table that no plan reads any more."""
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def partitions(spark: SparkSession) -> int:

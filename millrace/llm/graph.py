@@ -1,11 +1,11 @@
-"""Connected components of an edge table by alternating large and small stars; every round is a written table."""
+"""Connected components of an edge table by alternating large and small stars; every round is a stored table, which takes the place of the one before."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import written
+from millrace.llm.common import remove, stored
 
 
 def _rewired(edges: DataFrame, small: bool) -> DataFrame:
@@ -24,14 +24,18 @@ def _rewired(edges: DataFrame, small: bool) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) of every node in edges (a, b: bigint): the least node reachable."""
     up = edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    now = written(up, "edges")
+    spark = edges.sparkSession
+    now, path = stored(up, "edges")
     mark = None
     while True:
         seen = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % (1 << 40))).first()
         if tuple(seen) == mark or not seen[0]:
             break
         mark = tuple(seen)
-        now = written(_rewired(written(_rewired(now, small=False), "edges"), small=True), "edges")
+        large, large_path = stored(_rewired(now, small=False), "edges")
+        remove(spark, path)
+        now, path = stored(_rewired(large, small=True), "edges")
+        remove(spark, large_path)
     nodes = now.select(F.col("a").alias("node"), F.col("b").alias("component"))
     roots = now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     return nodes.unionByName(roots)
