@@ -2,7 +2,8 @@
 
 A tokenizer of these files looks at words apart: text cut where no rule reaches across gives the same ids.
 For byte-level files such a place is a single space, or a single line feed, between characters that are no white
-space; for files that drop white space it is any space or line feed. The two caches only save time: each is emptied when full."""
+space; for files that drop white space it is any space or line feed. A text that spells one of the file's special tokens, which
+the library takes out of a text wherever it stands, goes to the library whole. The two caches only save time: each is emptied when full."""
 
 from __future__ import annotations
 
@@ -29,7 +30,10 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        marks = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        if any(t.normalized for t in self.tokenizer.get_added_tokens_decoder().values()) or any(re.search(r"\s", m) for m in marks):
+            raise ValueError("special tokens that are normalized or hold white space are not supported")
+        self.marks = re.compile("|".join(map(re.escape, sorted(marks, key=len, reverse=True))) or r"\b\B")
         self.byte_level = byte_level
         self.cache: dict[str, bytes] = {}  # words seen once
         self.old: dict[str, bytes] = {}  # words seen again
@@ -72,6 +76,15 @@ class WordEncoder:
         return text.replace("\n", " \n").split(" ")
 
     def ids(self, texts: list[str]) -> list[bytes]:
+        marked = [i for i, t in enumerate(texts) if self.marks.search(t)]
+        if marked:
+            out = self._ids(["" if self.marks.search(t) else t for t in texts])
+            for i, found in zip(marked, self._alone([texts[i] for i in marked]), strict=True):
+                out[i] = found
+            return out
+        return self._ids(texts)
+
+    def _ids(self, texts: list[str]) -> list[bytes]:
         parts = [self._words(t) for t in texts]
         heads: list[bytes] = []
         if self.byte_level:  # a text's first word has no space before it

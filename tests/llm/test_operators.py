@@ -248,7 +248,6 @@ def test_packing(spark, docs):
 
     path = public_tokenizers.path("word_bpe_49k.json")
     library = Tokenizer.from_file(path)
-    library.encode_special_tokens = True
     ids = {d.doc_id: library.encode(d.text, add_special_tokens=False).ids + [2] for d in docs}
     rows = packing.op6_packing(spark, SF).collect()
     pieces, windows = collections.defaultdict(list), collections.defaultdict(list)
@@ -288,7 +287,6 @@ def test_token_files_round_trip(spark, docs):
 
     path = public_tokenizers.path("byte_bpe_50k.json")
     library = Tokenizer.from_file(path)
-    library.encode_special_tokens = True
     start, want = 0, {}
     for d in docs:
         ids = library.encode(d.text, add_special_tokens=False).ids + [0]
@@ -308,13 +306,17 @@ def test_token_files_round_trip(spark, docs):
 
 @pytest.mark.parametrize("name,byte_level", [("word_bpe_49k.json", False), ("byte_bpe_50k.json", True)])
 def test_word_cache_gives_the_library_ids(name, byte_level, docs, monkeypatch):
+    from tokenizers import Tokenizer
+
     from millrace.llm import tokens
 
     monkeypatch.setattr(tokens, "OLD_WORDS", 50)
     monkeypatch.setattr(tokens, "YOUNG_WORDS", 50)
     encoder = tokens.WordEncoder(public_tokenizers.path(name), byte_level)
-    texts = ["", " ", "\n", " a  b\n\n c\t d ", "x\n", "it's  we'll \n 12|34 | |", "a b  c", "é İ ΣAΣ Σ", "\na b", "a \nb", "a\n b", "a\x1cb \x1c c", "<|endoftext|> </w>", "\x85 a\x85b "] + [d.text for d in docs[:60]]
-    want = [np.array(e.ids, "<u4").tobytes() for e in encoder.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    texts = ["", " ", "\n", " a  b\n\n c\t d ", "x\n", "it's  we'll \n 12|34 | |", "a b  c", "é İ ΣAΣ Σ", "\na b", "a \nb", "a\n b", "a\x1cb \x1c c", "<|endoftext|> </w>", "a <|endoftext|> b", "x<|endoftext|>y <|startoftext|>z", "<|ENDOFTEXT|> <|endoftext", "\x85 a\x85b "] + [d.text for d in docs[:60]]
+    library = Tokenizer.from_file(public_tokenizers.path(name))
+    want = [np.array(library.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert 49407 in np.frombuffer(want[texts.index("a <|endoftext|> b")], "<u4") or byte_level
     for _ in range(3):
         assert encoder.ids(texts) == want
 
@@ -374,23 +376,41 @@ def test_quality_counts_and_verdicts(spark):
     few = quality_rules.judged(odd(spark).drop("n", "kept")).collect()
     assert len(few) == len(ODD) and not any(r.kept for r in few)
     assert quality_rules.judged(odd(spark).drop("n", "kept").limit(0)).count() == 0
+    assert "bucket" in quality_rules.judged(odd(spark).drop("n", "kept")).columns
+    with pytest.raises(ValueError, match="kept"):
+        quality_rules.judged(odd(spark))
 
 
 def test_quality_fences_come_from_the_groups(spark):
+    """Every fence against exact quantiles of its group, its language and the corpus, within the sketch's rank error."""
     from millrace.llm import quality_rules as q
 
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text", "lang", "source")
     rows = [r for r in q.judged(docs).collect() if not r.base_failed]
-    sizes = collections.Counter((r.lang, r.source) for r in rows)
-    group = max(sizes, key=lambda g: (sizes[g], str(g)))
+    by_group, by_lang = collections.defaultdict(list), collections.defaultdict(list)
+    for r in rows:
+        by_group[r.lang, r.source].append(r)
+        by_lang[r.lang].append(r)
+
+    def brute(f, members, slack):
+        """Least and greatest fence with ranks off by slack."""
+        values = np.sort([(r[f.count] + f.extra) / (r[f.whole] + f.extra) for r in members])
+        at = lambda rank: values[int(np.clip(np.ceil(rank * len(values)) - 1, 0, len(values) - 1))]
+        ends = [(at(f.low + slack), at(f.high - slack)), (at(f.low - slack), at(f.high + slack))]
+        return [min(high + f.spread * max(high - low, high * q.LEAST_SPREAD), f.ceiling) for low, high in ends]
+
     decided = 0
     for f in q.FENCES:
-        fence = {(r.lang, r.source): r[f"{f.name}_fence"] for r in rows}
-        own = [fence[g] for g, n in sizes.items() if n >= q.MIN_GROUP]
-        assert len({round(x, 9) for x in own}) >= 10 and 0 < min(own) and max(own) < f.ceiling
-        values = [(r[f.count] + f.extra) / (r[f.whole] + f.extra) for r in rows if (r.lang, r.source) == group]
-        low, high = np.quantile(values, [f.low, f.high], method="inverted_cdf")
-        assert abs(fence[group] - (high + f.spread * max(high - low, high * q.LEAST_SPREAD))) < 0.05 * fence[group]
+        fence = {g: m[0][f"{f.name}_fence"] for g, m in by_group.items()}
+        assert len({round(x, 9) for x in fence.values()}) >= 10 and 0 < min(fence.values()) and max(fence.values()) < f.ceiling
+        for g, members in by_group.items():
+            bounds = []
+            for side in (0, 1):
+                a, b, c = (brute(f, m, 0.01)[side] for m in (members, by_lang[g[0]], rows))
+                k = q.PRIOR_ROWS
+                lang = (len(by_lang[g[0]]) * b + k * c) / (len(by_lang[g[0]]) + k)
+                bounds.append((len(members) * a + k * lang) / (len(members) + k))
+            assert bounds[0] - 1e-9 <= fence[g] <= bounds[1] + 1e-9
         middle = sorted(fence.values())[len(fence) // 2]
         decided += sum((r[f.name] > fence[r.lang, r.source]) != (r[f.name] > middle) for r in rows)
     assert decided >= 5  # verdicts that one fence for all groups would not give
