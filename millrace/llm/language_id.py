@@ -7,9 +7,13 @@ gain, as long as the gain exceeds a penalty of PENALTY * log(n-grams) for its pa
 
 Counts come from a bounded sample of labelled rows: about SAMPLE documents of each language, chosen by hash of doc_id.
 
+Memory is bounded: a text of any length is read piece by piece into counts per n-gram bucket, and the mixture is estimated
+over those counts, which gives the likelihood of the single n-grams.
+
 Nulls: a text that is null or has no letter is `und` with score 0; rows of null lang teach nothing; a null doc_id is
 kept, outside the learning rows. Without any learning row every document is `und`. Ties go to the language first in
-order. An empty table gives an empty result; columns besides doc_id, text and lang are not read."""
+order, repeated rows are judged alike. An empty table gives an empty result; columns besides doc_id, text and lang are not
+read. Extra columns stay as they are; one named like a column that is added here is an error."""
 
 from __future__ import annotations
 
@@ -58,6 +62,17 @@ def grams(data: np.ndarray) -> np.ndarray:
     return np.concatenate(found) if found else np.zeros(0, np.uint32)
 
 
+def histogram(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets of one text's n-grams and how often each occurs; a long text's pieces one after another."""
+    if len(data) <= PIECE >> 6:
+        return np.unique(grams(data), return_counts=True)
+    total = np.zeros(1 << LOG_BUCKETS, np.int64)
+    for i in range(0, len(data), PIECE):
+        total += np.bincount(grams(data[i : i + PIECE]), minlength=1 << LOG_BUCKETS)
+    buckets = np.flatnonzero(total)
+    return buckets, total[buckets]
+
+
 def texts(column: pa.Array) -> Iterator[np.ndarray]:
     """Each text's bytes."""
     for chunk in chunks(column):
@@ -84,16 +99,17 @@ class Mixture:
 
     def infer(self, data: np.ndarray) -> tuple[dict[int, float], float]:
         """Proportions of the selected languages, and how sure the likeliest single one is among all."""
-        buckets = np.concatenate([grams(data[i : i + PIECE]) for i in range(0, len(data), PIECE)]) if len(data) > PIECE else grams(data)
-        n = len(buckets)
-        single = self.log_p[buckets].sum(axis=0, dtype=np.float64)
+        buckets, counts = histogram(data)
+        n = int(counts.sum())
+        heard = counts.astype(np.float32)
+        single = counts.astype(np.float64) @ self.log_p[buckets]
         best = int(np.argmax(single))
         spread = np.exp(np.clip((single - single[best]) / len(ORDERS), -50, 0))
         chosen, shares, fit = [best], np.ones(1, np.float32), single[best]
         p = self.p[buckets]
         mixed = p[:, best]
         while len(chosen) < len(self.languages):
-            gains = np.mean(p / mixed[:, None], axis=0)  # slope of the likelihood towards each language
+            gains = (heard @ (p / mixed[:, None])) / n  # slope of the likelihood towards each language
             gains[chosen] = 0
             new = int(np.argmax(gains))
             if gains[new] <= 1.0:
@@ -104,9 +120,9 @@ class Mixture:
             for _ in range(STEPS):
                 joint = part * weights
                 joint /= joint.sum(axis=1, keepdims=True)
-                weights = joint.mean(axis=0)
+                weights = (heard @ joint) / n
             total = part @ weights
-            now = float(np.log(total).sum(dtype=np.float64))
+            now = float(np.log(total).astype(np.float64) @ counts)
             if (now - fit) / len(ORDERS) <= PENALTY * np.log(n):
                 break
             chosen, shares, fit, mixed = trial, weights, now, total

@@ -105,7 +105,8 @@ def likeliest(languages: language_id.Mixture, data: np.ndarray) -> str:
     """The single language that fits best; "" without languages or text."""
     if not languages.languages or not len(data):
         return ""
-    total = sum(languages.log_p[language_id.grams(data[i : i + PIECE])].sum(axis=0, dtype=np.float64) for i in range(0, len(data), PIECE))
+    buckets, counts = language_id.histogram(data)
+    total = counts.astype(np.float64) @ languages.log_p[buckets]
     return languages.languages[int(np.argmax(total))]
 
 
