@@ -135,7 +135,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     own = docs.select(bucket.alias("bucket"), F.lit(False).alias("guest"), "doc_id", "text")
     edges = docs.sparkSession.createDataFrame(guests, "first bigint, target int, home int")
     lent = docs.join(F.broadcast(edges), F.col("doc_id").eqNullSafe(F.col("first"))).select(F.col("target").alias("bucket"), F.lit(True).alias("guest"), "doc_id", "text")
-    placed = own.unionByName(lent).repartition(max(1, len(bounds)), "bucket")
+    placed = own.unionByName(lent).repartitionById(len(cuts) + 2, F.col("bucket") + 1)
     ordered = placed.sortWithinPartitions("bucket", "guest", F.desc_nulls_last("doc_id"), "text")
     return ordered.mapInArrow(_fingerprints, _SCHEMA)
 

@@ -131,7 +131,7 @@ def packed(docs: DataFrame, path: str, window: int = WINDOW, end_id: int = END_I
     closed = first.where(F.col("fill") >= int(DONE * window)).select(*_NAMES)
     parts = first.agg(F.max("part")).first()[0] or 0
     groups = parts // GATHER + 1
-    left = first.where(F.col("fill") < int(DONE * window)).repartition(groups, F.floor(F.col("part") / GATHER))
+    left = first.where(F.col("fill") < int(DONE * window)).repartitionById(groups, F.floor(F.col("part") / GATHER).cast("int"))
     return closed.unionByName(left.mapInArrow(_repack(window), _SCHEMA))
 
 

@@ -5,7 +5,9 @@ k-th chunk of every id that reaches it, a bitmap of those that go on, and a rank
 512 bits) that turns a position into the next level's, so any token is read without decoding its neighbours.
 Segments are written as rows of a Parquet table, one file image per row: that works in any store that Spark writes.
 
-Nulls: a null text is an empty one, of the end id alone; null doc_ids come first. Rows that repeat a doc_id follow
+A range of doc_id is a task of its own, which holds one segment's ids at a time, or one longer document's.
+
+Nulls: a null text is an empty one, of the end id alone; null doc_ids come first, all in one range. Rows that repeat a doc_id follow
 each other in order of text. An empty table gives an empty result; columns besides doc_id and text are not read."""
 
 from __future__ import annotations
@@ -150,7 +152,7 @@ def write_ids(docs: DataFrame, path: str, end_id: int = END_ID, segment_ids: int
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     cuts = split_points(texts, "doc_id", partitions(docs.sparkSession))
     bucket = F.when(F.col("doc_id").isNull(), -1).otherwise(bucket_of(F.col("doc_id"), cuts))
-    ordered = texts.withColumn("bucket", bucket).repartition(len(cuts) + 1, "bucket").sortWithinPartitions("bucket", "doc_id", "text")
+    ordered = texts.withColumn("bucket", bucket).repartitionById(len(cuts) + 2, F.col("bucket") + 1).sortWithinPartitions("bucket", "doc_id", "text")
     return written(ordered.mapInArrow(_encode(path, end_id, segment_ids), _SEGMENTS), "tokens")
 
 
