@@ -11,7 +11,7 @@ Term of a word w after v (words split at white space, as written):
 Terms are rounded to millionths, so that sums do not depend on their order.
 
 Nulls: a null or empty text has no words, a score_micro of 0 and a null score; a null doc_id is kept. Repeated rows
-count as documents of their own. An empty table gives an empty result; columns besides doc_id and text are not read."""
+count as documents of their own. A document is never split: a task's memory follows its longest text. An empty table gives an empty result; columns besides doc_id and text are not read."""
 
 from __future__ import annotations
 
@@ -24,8 +24,10 @@ from millrace.llm.common import documents
 from millrace.llm.words import Chunk, buffers, mix, powers, word_hashes
 
 ALPHA = 0.4
-#: Bytes of text in a block: a task holds about forty times as much in arrays.
+#: Bytes of text in a block: a task holds about forty times as much in arrays, or as a longer document's.
 BLOCK_BYTES = 3 << 20
+#: Blocks for each partition of the count table, which takes about as many times a block's n-grams into one task.
+SPREAD = 8
 TOTAL = np.uint64(0)  # stands for the count of all words
 
 
@@ -155,7 +157,7 @@ def scored(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = size // block_bytes + 1
     dealt = texts.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int"))
-    asked = dealt.groupBy("block").applyInArrow(_asked(int(blocks)), "block int, bucket int, grams binary, counts binary")
+    asked = dealt.groupBy("block").applyInArrow(_asked(int(blocks) // SPREAD + 1), "block int, bucket int, grams binary, counts binary")
     answers = asked.groupBy("bucket").applyInArrow(_summed, "block int, bucket int, answers binary")
     found = dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_scored, _SCHEMA)
     return found.withColumn("score", F.when(F.col("n_words") > 0, F.col("score_micro") / 1e6 / F.col("n_words")))
