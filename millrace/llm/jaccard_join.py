@@ -9,12 +9,15 @@
 4. Within a candidate group an R-tree proposes pairs again, and they are verified on whole sets.
 5. Links spread to components, which lead back to documents.
 
-A shingle's classes, or a candidate group, beyond the size of a leaf are cut into leaves by hash, and every two leaves
-meet in a task of their own.
+Both times, the classes that meet (under a shingle, in a candidate group) are cut into leaves by hash, each a block of one
+task, and a thinning share of them meets again in blocks above, so that like classes of all leaves soon hang together. What
+does then not belong to a group's largest component, the rest, meets all of the group, in blocks too: no link is lost,
+and a group of M near copies costs M, not M * M. Only groups whose members may link by their points but do not cost more.
 
 Classes and shingles are 64-bit hashes. Nulls: a null text is an empty one; a document without words is linked with
-nothing. A null doc_id takes its class's component; a class of null doc_ids alone is linked with no other and has none. Repeated rows share a class. An empty table
-gives an empty result; columns besides doc_id and text are not read."""
+nothing. A null doc_id takes its class's component; a component of null doc_ids alone has none. Repeated rows share a class.
+A doc_id may have several texts, each of which has its own class. A text is held whole, as eight bytes a word in a few
+arrays. An empty table gives an empty result; columns besides doc_id, text and those to carry are not read."""
 
 from __future__ import annotations
 
@@ -25,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import documents, partitions, written
+from millrace.llm.common import documents, partitions, remove, stored, written
 from millrace.llm.graph import components
 from millrace.llm.words import chunks, mix, shingle_hashes, word_hashes
 
@@ -40,6 +43,9 @@ FULL = 255
 LEAF = 800
 #: Classes of one shingle that meet in a task.
 SHARERS = 2000
+#: Of a leaf's classes, so many meet again in a block above.
+RISE = 8
+LEVELS = 4
 #: Buckets of the filter of doc_ids whose texts are needed: the most rows that are broadcast for it.
 FILTER = 1 << 18
 LEAF_SHINGLES = 1_000_000
@@ -188,7 +194,7 @@ def _by_block(batches: Iterator[pa.RecordBatch], key: tuple[str, ...], rows_of,
             if now != block:
                 out += edges()
                 block = now
-            if row is None:
+            if row is None or (ids and (ids[-1], sides[-1]) == (cls, side)):  # a repeated row
                 continue
             ids.append(cls)
             sides.append(side)
@@ -203,7 +209,7 @@ def _proposed(percent: int):
 
     def rows_of(batch: pa.RecordBatch):
         rows = zip(batch.column("point").to_pylist(), batch.column("n").to_pylist(), strict=True)
-        return zip(batch.column("leaf").to_pylist(), batch.column("cls").to_pylist(), rows, strict=True)
+        return zip(batch.column("side").to_pylist(), batch.column("cls").to_pylist(), rows, strict=True)
 
     def links_of(rows, sides):
         """Level by level: sets with as many coordinates, and those just beyond, folded to as many."""
@@ -228,17 +234,55 @@ def _verified(k: int, percent: int):
     """Links of each block of a candidate group."""
 
     def rows_of(batch: pa.RecordBatch):
-        for leaf, cls, s in zip(batch.column("leaf").to_pylist(), batch.column("cls").to_pylist(), sets_of(batch.column("text"), k), strict=True):
-            yield leaf, cls, s if len(s) and class_of(s) == cls else None  # a repeated doc_id can bring another text
-
-    return lambda batches: _by_block(batches, ("comp", "i", "j"), rows_of, lambda sets, sides: linked(sets, sides, percent))
-
-
-def _met(rows: DataFrame, key: str, *columns: str) -> DataFrame:
-    """rows (leaf, leaves and more) once for every leaf that theirs meets, in order of the blocks (key, i, j)."""
-    met = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("leaves") - 1)))
-    blocks = met.select(key, F.least("leaf", "other").alias("i"), F.greatest("leaf", "other").alias("j"), "leaf", *columns)
-    return blocks.repartition(partitions(rows.sparkSession), key, "i", "j").sortWithinPartitions(key, "i", "j", "leaf", "cls")
+        for side, cls, s in zip(batch.column("side").to_pylist(), batch.column("cls").to_pylist(), sets_of(batch.column("text"), k), strict=True):
+            yield side, cls, s if len(s) and class_of(s) == cls else None  # hashes of rows can collide
+
+    return lambda batches: _by_block(batches, ("key", "i", "j"), rows_of, lambda sets, sides: linked(sets, sides, percent))
+
+
+def _first_blocks(rows: DataFrame, limit: int) -> DataFrame:
+    """rows (key, cls, leaves) as (key, cls, i, j, side): each in its leaf, and again in every level that its hash reaches."""
+    step, height = max(2, limit // RISE), F.pmod(F.xxhash64("cls", F.lit(9)), F.lit(1 << 40))
+    at = []
+    for level in range(LEVELS):
+        wide = F.ceil(F.col("leaves") / float(step**level))
+        here = F.struct(F.pmod(F.xxhash64("cls", F.lit(3 + level)), wide).alias("i"), F.lit(-1 - level).cast("long").alias("j"))
+        rises = (F.col("leaves") > step ** (level - 1)) & (height % step**level == 0) if level > 1 else (F.col("leaves") > 1) & (height % step == 0)
+        at.append(F.when(rises, here) if level else here)
+    spots = F.explode(F.filter(F.array(*at), lambda x: x.isNotNull())).alias("at")
+    return rows.select("key", "cls", spots).select("key", "cls", "at.i", "at.j", F.lit(0).alias("side"))
+
+
+def _rest_blocks(hot: DataFrame, labels: DataFrame, limit: int) -> DataFrame | None:
+    """Of rows (key, cls, leaves) cut into leaves: those outside their key's largest component meet all of the key. None if there are none."""
+    label = F.coalesce("component", "cls").alias("label")
+    named = hot.join(labels, F.col("cls") == F.col("node"), "left").select("key", "cls", "leaves", label)
+    sizes = named.groupBy("key", "label").agg(F.count("*").alias("n"))
+    big = sizes.groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("big"), (F.sum("n") - F.max("n")).alias("rest")).where("rest > 0")
+    open_rows = named.join(big.select("key", "big", F.ceil(F.col("rest") / limit).alias("chunks")), "key")
+    rows, _ = stored(open_rows.select("key", "cls", "leaves", "chunks", (F.col("label") != F.col("big")).alias("guest")), "rest")
+    if rows.isEmpty():
+        return None
+    number = lambda n, salt: F.pmod(F.xxhash64("cls", F.lit(salt)), F.col(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    homes = rows.select("key", "cls", number("leaves", 3).alias("i"), every("chunks").alias("j"), F.lit(0).alias("side"))
+    guests = rows.where("guest").select("key", "cls", every("leaves").alias("i"), number("chunks", 5).alias("j"), F.lit(1).alias("side"))
+    return homes.unionByName(guests)
+
+
+def _joined_up(rows: DataFrame, limit: int, payload, links_of) -> DataFrame:
+    """(node, component) over the links among classes of one key. rows: (key, cls, leaves); payload: adds columns to (key, cls, i, j, side) for links_of."""
+
+    def links(blocks: DataFrame) -> DataFrame:
+        dealt = payload(blocks).repartition(partitions(rows.sparkSession), "key", "i", "j").sortWithinPartitions("key", "i", "j", "side", "cls")
+        return dealt.mapInArrow(links_of, "a bigint, b bigint")
+
+    labels = components(links(_first_blocks(rows, limit)))
+    hot = rows.where("leaves > 1")
+    rest = None if hot.isEmpty() else _rest_blocks(hot, labels, limit)
+    if rest is None:
+        return labels
+    return components(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(links(rest)))
 
 
 def _frequent(k: int):
@@ -284,13 +328,15 @@ def _described(k: int, percent: int, frequent, counts):
                 points.append(np.minimum(point_of(s, groups_for(len(s))), FULL).astype(np.uint8).tobytes())
                 classes.append(class_of(s))
                 keys.append(first_shingles(s, percent, hot, often).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(points, pa.binary())], names=["doc_id", "n_shingles", "cls", "keys", "point"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("at"), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(points, pa.binary())], names=["doc_id", "at", "n_shingles", "cls", "keys", "point"])
 
     return run
 
 
 def joined(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """docs (doc_id, text) as (doc_id, n_shingles, component_id)."""
+    """docs (doc_id, text) as (doc_id, text_hash, n_shingles, component_id, component).
+
+    text_hash: xxhash64 of the text (null: of ""). component: a number that the rows of one component share, null where there are no words."""
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     often = texts.select("text").mapInArrow(_frequent(k), "shingle bigint, n bigint").groupBy("shingle").agg(F.sum("n").alias("n"))
@@ -298,37 +344,46 @@ def joined(docs: DataFrame, k: int, percent: int) -> DataFrame:
     hot = table["shingle"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(hot)
     send = spark.sparkContext.broadcast
-    described = written(texts.mapInArrow(_described(k, percent, send(hot[order]), send(table["n"].to_numpy(np.int64)[order])), "doc_id bigint, n_shingles bigint, cls bigint, keys array<bigint>, point binary"), "jaccard")
+    describe = _described(k, percent, send(hot[order]), send(table["n"].to_numpy(np.int64)[order]))
+    hashed = texts.select("doc_id", F.xxhash64("text").alias("at"), "text")
+    described = written(hashed.mapInArrow(describe, "doc_id bigint, at bigint, n_shingles bigint, cls bigint, keys array<bigint>, point binary"), "jaccard")
 
     # first shingles that several classes have; copies of one class are merged before the shuffle
     some = described.where(F.col("cls").isNotNull())
     keyed = some.select("cls", F.explode("keys").alias("key"))
     repeated = keyed.groupBy("key").agg(F.count("*").alias("rows")).where("rows > 1").select("key")
-    sharing = written(keyed.join(repeated, "key").select("key", "cls").distinct(), "sharing")
-    shared = sharing.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key", F.ceil(F.col("m") / SHARERS).cast("int").alias("leaves"))
-    classes = written(some.groupBy("cls").agg(F.min("doc_id").alias("first_id"), F.max("n_shingles").alias("n"), F.max("point").alias("point")), "classes")
-    in_leaf = F.pmod(F.xxhash64("cls", F.lit(3)), F.col("leaves")).cast("int")
-    placed = sharing.join(shared, "key").join(classes.select("cls", "n", "point"), "cls").withColumn("leaf", in_leaf)
-    proposed = _met(placed, "key", "cls", "n", "point").mapInArrow(_proposed(percent), "a bigint, b bigint")
-    groups = written(components(proposed).select(F.col("node").alias("cls"), F.col("component").alias("comp")), "groups")
-
-    members = groups.join(classes.select("cls", "first_id", "n"), "cls").where(F.col("first_id").isNotNull())
-    weights = members.groupBy("comp").agg(F.count("*").alias("rows"), F.sum("n").alias("weight"))
-    leaves = F.greatest(F.ceil(F.col("rows") / LEAF), F.ceil(F.col("weight") / LEAF_SHINGLES)).cast("int")
-    leafed = written(members.join(weights.select("comp", leaves.alias("leaves")), "comp").withColumn("leaf", in_leaf).select(F.col("first_id").alias("doc_id"), "cls", "comp", "leaf", "leaves"), "members")
-    bucket = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER)).alias("bucket")
-    near = texts.withColumn("bucket", bucket).join(F.broadcast(leafed.select(bucket).distinct()), "bucket", "left_semi")
-    rows = near.select("doc_id", "text").join(leafed, "doc_id")
-    links = written(_met(rows, "comp", "cls", "text").mapInArrow(_verified(k, percent), "a bigint, b bigint"), "links")
-
-    found = components(links)
+    sharing, sharing_path = stored(keyed.join(repeated, "key").select("key", "cls").distinct(), "sharing")
+    shared = sharing.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key", F.ceil(F.col("m") / SHARERS).alias("leaves"))
+    # each class's text is read from one of its rows, found by hash
+    row = F.xxhash64("doc_id", "at")
+    classes = written(some.groupBy("cls").agg(F.min("doc_id").alias("first_id"), F.min(row).alias("row"), F.max("n_shingles").alias("n"), F.max("point").alias("point")), "classes")
+    points = classes.select("cls", "n", "point")
+    groups, groups_path = stored(_joined_up(sharing.join(shared, "key"), SHARERS, lambda blocks: blocks.join(points, "cls"), _proposed(percent)), "groups")
+    remove(spark, sharing_path)
+
+    members = groups.select(F.col("node").alias("cls"), F.col("component").alias("key")).join(classes.select("cls", "row", "n"), "cls")
+    weights = members.groupBy("key").agg(F.count("*").alias("rows"), F.sum("n").alias("weight"))
+    leaves = F.greatest(F.ceil(F.col("rows") / LEAF), F.ceil(F.col("weight") / LEAF_SHINGLES))
+    leafed, leafed_path = stored(members.join(weights.select("key", leaves.alias("leaves")), "key").select("row", "cls", "key", "leaves"), "members")
+    bucket = F.pmod(F.col("row"), F.lit(FILTER)).alias("bucket")
+    rows = hashed.select(row.alias("row"), "text").withColumn("bucket", bucket)
+
+    def with_text(blocks: DataFrame) -> DataFrame:
+        wanted = blocks.join(leafed.select("key", "cls", "row"), ["key", "cls"])
+        near = rows.join(F.broadcast(leafed.select(bucket).distinct()), "bucket", "left_semi")
+        return near.select("row", "text").join(wanted, "row").select("key", "cls", "i", "j", "side", "text")
+
+    found, found_path = stored(_joined_up(leafed.select("key", "cls", "leaves"), LEAF, with_text, _verified(k, percent)), "found")
+    remove(spark, leafed_path)
+    remove(spark, groups_path)
+
     named = found.join(classes, F.col("node") == F.col("cls")).select("cls", "component", "first_id")
     least = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    label = named.join(least, "component").select("cls", "component_id")
-    by_class = classes.join(label, "cls", "left").select("cls", F.coalesce("component_id", "first_id").alias("component_id"))
-    out = described.select("doc_id", "n_shingles", "cls").join(by_class, "cls", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    label = named.join(least, "component").select("cls", "component", "component_id")
+    by_class = classes.join(label, "cls", "left").select("cls", F.coalesce("component", "cls").alias("component"), F.coalesce("component_id", "first_id").alias("component_id"))
+    out = described.select("doc_id", F.col("at").alias("text_hash"), "n_shingles", "cls").join(by_class, "cls", "left")
+    return out.select("doc_id", "text_hash", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "component")
 
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return joined(documents(spark, sf_dir), 4, 85)
+    return joined(documents(spark, sf_dir), 4, 85).select("doc_id", "n_shingles", "component_id")

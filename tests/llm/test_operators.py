@@ -209,20 +209,48 @@ def variants(seed, n=160):
     return rows
 
 
-@pytest.mark.parametrize("percent", [80, 85])
-def test_jaccard_join_is_exact(spark, percent, monkeypatch):
+@pytest.mark.parametrize("percent,leaf", [(80, 20), (85, 20), (85, 6)])
+def test_jaccard_join_is_exact(spark, percent, leaf, monkeypatch):
     from millrace.llm import jaccard_join
 
-    monkeypatch.setattr(jaccard_join, "LEAF", 20)  # groups cut into leaves
-    monkeypatch.setattr(jaccard_join, "SHARERS", 15)
+    monkeypatch.setattr(jaccard_join, "LEAF", leaf)  # groups cut into leaves, with levels above them and a rest
+    monkeypatch.setattr(jaccard_join, "SHARERS", leaf - 2)
+    monkeypatch.setattr(jaccard_join, "RISE", 2)
     rows = variants(percent)
     found = jaccard_join.joined(spark.createDataFrame(rows, "doc_id long, text string"), 4, percent)
-    assert sorted(map(tuple, found.collect())) == components(rows, 4, percent)
+    assert sorted(map(tuple, found.select("doc_id", "n_shingles", "component_id").collect())) == components(rows, 4, percent)
+
+
+def test_jaccard_join_of_near_copies_is_no_product_of_them(spark, monkeypatch):
+    """1,500 near copies in leaves of 50: all hang together, and few rows are left that meet all others."""
+    from millrace.llm import jaccard_join
+
+    monkeypatch.setattr(jaccard_join, "LEAF", 50)
+    monkeypatch.setattr(jaccard_join, "SHARERS", 50)
+    rests = []
+    rest_blocks = jaccard_join._rest_blocks
+
+    def watched(*args):
+        blocks = rest_blocks(*args)
+        rests.append(0 if blocks is None else blocks.count())
+        return blocks
+
+    monkeypatch.setattr(jaccard_join, "_rest_blocks", watched)
+    base = [f"w{i}" for i in range(200)]
+    rows = [(i, " ".join([*base, f"end{i}"])) for i in range(1500)] + [(2000 + i, " ".join(f"x{i}{j}" for j in range(20))) for i in range(50)]
+    found = jaccard_join.joined(spark.createDataFrame(rows, "doc_id long, text string"), 4, 85).collect()
+    assert {r.component_id for r in found if r.doc_id < 1500} == {0} and all(r.component_id == r.doc_id for r in found if r.doc_id >= 2000)
+    assert rests and sum(rests) < 30 * 1500
 
 
 def test_jaccard_join_of_odd_rows(spark):
     from millrace.llm import jaccard_join
 
+    nulls = [(None, "a b c d e f"), (None, "a b c d e f"), (5, "q r s t u v w x y z"), (5, "a b c d e f")]
+    lone = jaccard_join.joined(spark.createDataFrame([(None, f"{w} b c d e f g h i j k l m n o p q r s t u v w x y z 1 2 3 4") for w in "aA!"], "doc_id long, text string"), 4, 85).collect()
+    assert len({r.component for r in lone}) == 1 and {r.component_id for r in lone} == {None}
+    several = jaccard_join.joined(spark.createDataFrame(nulls, "doc_id long, text string"), 4, 85).collect()
+    assert [r.component_id for r in several] == [5] * 4 and len({r.component for r in several}) == 2
     found = collections.Counter((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_join.joined(odd(spark), 4, 85).collect())
     assert found[(3, 1, 3)] == 2 and found[(4, 1, 3)] == 1 and found[(9, 1, 9)] == 1 and found[(None, 1, 9)] == 1 and found[(3, 0, 3)] == 1
     assert jaccard_join.joined(odd(spark).limit(0), 4, 85).count() == 0
