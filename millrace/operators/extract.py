@@ -24,6 +24,16 @@ def contains_alias(padded: Column, alias: str) -> Column:
     return contains_phrase(padded, alias)
 
 
+def bound(value: Column, body) -> Column:
+    """body(value) with value computed once: as a lambda's variable it is not repeated in every use."""
+    return F.transform(F.array(value), body)[0]
+
+
+def named(padded: Column, catalog: Catalog) -> Column:
+    """Keywords of which an alias occurs in a padded text, in catalog order."""
+    return bound(padded, lambda p: F.array_compact(F.array(*[F.when(any_alias(p, aliases), F.lit(k)) for k, aliases in catalog.items()])))
+
+
 def any_alias(padded: Column, aliases: Sequence[str]) -> Column:
     found = F.lit(False)
     for alias in aliases:
@@ -33,8 +43,7 @@ def any_alias(padded: Column, aliases: Sequence[str]) -> Column:
 
 def keywords(c: Column, catalog: Catalog) -> Column:
     """Keywords with an alias in the text, in catalog order. A catalog is a few hundred entries: it is planned in line."""
-    padded = text.keyword_text(c)
-    return F.array_compact(F.array(*[F.when(any_alias(padded, [k, *aliases]), F.lit(k)) for k, aliases in catalog.items()]))
+    return named(text.keyword_text(c), {k: [k, *aliases] for k, aliases in catalog.items()})
 
 
 def keyword_rows(docs: DataFrame, aliases: DataFrame, key: str = "doc_id", column: str = "text") -> DataFrame:
