@@ -5,20 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Query parameters that track a visit, matched without case; a trailing * is a prefix.
-TRACKING = ("utm_*", "gclid", "fbclid", "ref", "refid", "source", "trk", "trackingid", "sid", "session", "campaign")
+from millrace.functions import vocabulary
+
 #: First host labels that name no company.
 GENERIC_HOSTS = ("www", "careers", "jobs", "apply", "boards", "job-boards")
 
 
-def _is_tracking(key: Column) -> Column:
-    found = F.lower(key).isin(*[t for t in TRACKING if not t.endswith("*")])
-    for t in TRACKING:
-        if t.endswith("*"):
-            found = found | F.lower(key).startswith(t[:-1])
-    return found
-
-
 def scheme(url: Column) -> Column:
     return F.lower(F.regexp_extract(url, r"^([A-Za-z][A-Za-z0-9+.-]*)://", 1))
 
@@ -39,29 +31,47 @@ def fragment(url: Column) -> Column:
     return F.regexp_extract(url, r"#(.*)$", 1)
 
 
-def kept_query(url: Column) -> Column:
-    """The query string without tracking parameters."""
-    return F.array_join(F.filter(F.split(query(url), "&"), lambda p: (p != "") & ~_is_tracking(F.element_at(F.split(p, "="), 1))), "&")
+def _decoded(c: Column) -> Column:
+    plain = F.replace(c, F.lit("+"), F.lit(" "))
+    return F.coalesce(F.try_url_decode(c), plain)
+
+
+def _encoded(c: Column) -> Column:
+    """As in a form: letters, digits and _.-~ stay, a space is a plus."""
+    return F.replace(F.replace(F.url_encode(c), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
+
+
+def kept_query(url: Column, dropped: tuple[str, ...]) -> Column:
+    """The query string without the named parameters, decoded and encoded anew; a parameter without a value gets an empty one."""
+    pair = lambda p: F.struct(_decoded(F.substring_index(p, "=", 1)).alias("k"), F.when(F.contains(p, F.lit("=")), _decoded(F.regexp_replace(p, "^[^=]*=", ""))).otherwise(F.lit("")).alias("v"))
+    pairs = F.transform(F.filter(F.split(query(url), "&"), lambda p: p != ""), pair)
+    kept = F.filter(pairs, lambda x: ~F.lower(x["k"]).isin(*dropped))
+    return F.array_join(F.transform(kept, lambda x: F.concat(_encoded(x["k"]), F.lit("="), _encoded(x["v"]))), "&")
 
 
 def _with(mark: str, part: Column) -> Column:
     return F.when(part == "", F.lit("")).otherwise(F.concat(F.lit(mark), part))
 
 
-def sanitized(url: Column) -> Column:
-    """Tracking parameters dropped, the fragment kept; redirecting ad paths /land/ad/<id> become /details/<id>."""
-    clean = F.trim(F.coalesce(url, F.lit("")))
-    where = F.regexp_replace(path(clean), r"^/land/ad/([0-9]+).*$", "/details/$1")
-    whole = F.concat(F.regexp_extract(clean, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1), where, _with("?", kept_query(clean)), _with("#", fragment(clean)))
-    return F.when(scheme(clean) == "", clean).otherwise(whole)
+_START = r"^((?:[A-Za-z][A-Za-z0-9+.-]*:)?)((?://[^/?#]*)?)([^?#]*)"
+
+
+def sanitized(url: Column, dropped: tuple[str, ...] = vocabulary.SAVED_URL_PARAMETERS, ad_host: str = "adzuna.") -> Column:
+    """Tracking parameters and credentials dropped, the fragment kept. On ad_host, /land/ad/<number> becomes /details/<number> and nothing follows."""
+    clean = F.ltrim(F.coalesce(url, F.lit("")))
+    part = lambda i: F.regexp_extract(clean, _START, i)
+    front = F.concat(F.lower(part(1)), F.when(part(2) == "//", "").otherwise(part(2)))
+    ad = F.regexp_extract(part(3), r"^/land/ad/([0-9]+)", 1)
+    whole = F.concat(front, part(3), _with("?", kept_query(clean, dropped)), _with("#", fragment(clean)))
+    return F.when(F.lower(part(2)).contains(ad_host) & (ad != ""), F.concat(front, F.lit("/details/"), ad)).otherwise(whole)
 
 
-def canonical(url: Column) -> Column:
-    """Scheme and host in lower case, path without doubled or trailing slashes, no tracking parameters, no fragment."""
+def canonical(url: Column, dropped: tuple[str, ...] = vocabulary.HISTORY_URL_PARAMETERS) -> Column:
+    """Scheme and host in lower case, the path without doubled or trailing slashes, no tracking parameters, no fragment."""
     clean = F.trim(F.coalesce(url, F.lit("")))
-    where = F.regexp_replace(F.regexp_replace(path(clean), "/+", "/"), "/$", "")
-    whole = F.concat(scheme(clean), F.lit("://"), host(clean), where, _with("?", kept_query(clean)))
-    return F.when(scheme(clean) == "", F.lower(clean)).otherwise(whole)
+    part = lambda i: F.regexp_extract(clean, _START, i)
+    where = F.regexp_replace(F.regexp_replace(part(3), "/+$", ""), "/{2,}", "/")
+    return F.concat(F.lower(part(1)), F.when(part(2) == "//", "").otherwise(F.lower(part(2))), where, _with("?", kept_query(clean, dropped)))
 
 
 def is_valid(url: Column) -> Column:

@@ -63,24 +63,48 @@ def pages_clean_text(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.length(t).cast("long").alias("n_chars"), F.sha2(t, 256).alias("text_sha"))
 
 
-_KEYS = ", ".join(f"'{t}'" for t in urls.TRACKING if not t.endswith("*"))
-_KEPT = f"array_to_string(list_filter(string_split(q, '&'), lambda p: p <> '' AND lower(split_part(p, '=', 1)) NOT IN ({_KEYS}) AND NOT starts_with(lower(split_part(p, '=', 1)), 'utm_')), '&')"
+def _kept(q: str, names: str) -> str:
+    """SQL of a query string without the named parameters, as a form would write it."""
+    dec = "url_decode(replace({}, '+', ' '))"
+    enc = lambda x: f"replace(url_encode({x}), '%20', '+')"
+    key, value = dec.format("split_part(p, '=', 1)"), dec.format("CASE WHEN contains(p, '=') THEN regexp_replace(p, '^[^=]*=', '') ELSE '' END")
+    return f"array_to_string(list_transform(list_filter(string_split({q}, '&'), lambda p: p <> '' AND lower({key}) NOT IN ({names})), lambda p: {enc(key)} || '=' || {enc(value)}), '&')"
+
+
+_SAVED = "'utm_source', 'utm_medium', 'utm_campaign', 'utm_term', 'utm_content', 'app_id', 'app_key', 'aztt'"
+_HISTORY = "'utm_source', 'utm_medium', 'utm_campaign', 'utm_term', 'utm_content', 'fbclid', 'gclid', 'msclkid', 'app_id', 'app_key', 'aztt'"
+#: Four addresses of each page: its own, with credentials and tracking, of an ad host, and without a scheme.
+_ADDRESSES = """SELECT page_id, 0 AS kind, url FROM pages UNION ALL
+SELECT page_id, 1 AS kind, url || '//a/?App_Key=s3cret&ref=x%20y&utm_source=n&empty&q=a+b~c*&gclid=' || page_id || '#top' AS url FROM pages UNION ALL
+SELECT page_id, 2 AS kind, 'HTTPS://www.Adzuna.co.uk/land/ad/' || page_id || '?se=1&utm_medium=x#f' AS url FROM pages UNION ALL
+SELECT page_id, 3 AS kind, ' Example.com//Jobs/' || page_id || '/?msclkid=1&id=' || page_id AS url FROM pages"""
 
 
 @query("url_canonical", f"""
-WITH u AS (SELECT page_id, trim(coalesce(url, '')) AS url FROM pages),
-p AS (SELECT *, lower(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1)) AS s, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)) AS h,
-  regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1) AS pa, regexp_extract(url, '\\?([^#]*)', 1) AS q, regexp_extract(url, '#(.*)$', 1) AS f FROM u),
-k AS (SELECT *, {_KEPT} AS kq FROM p)
-SELECT page_id,
-  CASE WHEN s = '' THEN lower(url) ELSE s || '://' || h || regexp_replace(regexp_replace(pa, '/+', '/', 'g'), '/$', '') || CASE WHEN kq = '' THEN '' ELSE '?' || kq END END AS canonical_url,
-  CASE WHEN s = '' THEN url ELSE regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)', 1) || regexp_replace(pa, '^/land/ad/([0-9]+).*$', '/details/\\1') || CASE WHEN kq = '' THEN '' ELSE '?' || kq END || CASE WHEN f = '' THEN '' ELSE '#' || f END END AS sanitized_url,
-  (url = '' OR (s IN ('http', 'https') AND h <> '')) AS valid,
-  coalesce(list_filter(string_split(h, '.'), lambda x: x NOT IN ({", ".join(repr(x) for x in urls.GENERIC_HOSTS)}))[1], '') AS company
+WITH u AS ({_ADDRESSES}),
+p AS (SELECT *, trim(coalesce(url, '')) AS c, ltrim(coalesce(url, '')) AS l FROM u),
+g AS (SELECT *, regexp_extract(c, '^((?:[A-Za-z][A-Za-z0-9+.-]*:)?)((?://[^/?#]*)?)([^?#]*)', 1) AS s, regexp_extract(c, '^((?:[A-Za-z][A-Za-z0-9+.-]*:)?)((?://[^/?#]*)?)([^?#]*)', 2) AS h,
+  regexp_extract(c, '^((?:[A-Za-z][A-Za-z0-9+.-]*:)?)((?://[^/?#]*)?)([^?#]*)', 3) AS pa, regexp_extract(l, '^((?:[A-Za-z][A-Za-z0-9+.-]*:)?)((?://[^/?#]*)?)([^?#]*)', 3) AS lpa,
+  regexp_extract(c, '\\?([^#]*)', 1) AS q, regexp_extract(l, '\\?([^#]*)', 1) AS lq, regexp_extract(l, '#(.*)$', 1) AS f, lower(regexp_extract(c, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)) AS host FROM p),
+k AS (SELECT *, {_kept('q', _HISTORY)} AS hq, {_kept('lq', _SAVED)} AS sq FROM g)
+SELECT page_id, kind,
+  lower(s) || CASE WHEN h = '//' THEN '' ELSE lower(h) END || regexp_replace(regexp_replace(pa, '/+$', ''), '/{{2,}}', '/', 'g') || CASE WHEN hq = '' THEN '' ELSE '?' || hq END AS canonical_url,
+  CASE WHEN contains(lower(h), 'adzuna.') AND regexp_matches(pa, '^/land/ad/[0-9]+') THEN lower(s) || h || '/details/' || regexp_extract(pa, '^/land/ad/([0-9]+)', 1)
+    ELSE lower(s) || CASE WHEN h = '//' THEN '' ELSE h END || lpa || CASE WHEN sq = '' THEN '' ELSE '?' || sq END || CASE WHEN f = '' THEN '' ELSE '#' || f END END AS sanitized_url,
+  (c = '' OR (lower(s) IN ('http:', 'https:') AND host <> '')) AS valid,
+  coalesce(list_filter(string_split(host, '.'), lambda x: x NOT IN ({", ".join(repr(x) for x in urls.GENERIC_HOSTS)}))[1], '') AS company
 FROM k""")
 def url_canonical(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    made = (
+        F.col("url"),
+        F.concat("url", F.lit("//a/?App_Key=s3cret&ref=x%20y&utm_source=n&empty&q=a+b~c*&gclid="), "page_id", F.lit("#top")),
+        F.concat(F.lit("HTTPS://www.Adzuna.co.uk/land/ad/"), "page_id", F.lit("?se=1&utm_medium=x#f")),
+        F.concat(F.lit(" Example.com//Jobs/"), "page_id", F.lit("/?msclkid=1&id="), "page_id"),
+    )
     u = F.col("url")
-    return table(spark, sf_dir, "pages").select("page_id", urls.canonical(u).alias("canonical_url"), urls.sanitized(u).alias("sanitized_url"), urls.is_valid(u).alias("valid"), urls.company_label(u).alias("company"))
+    rows = pages.select("page_id", F.posexplode(F.array(*made)).alias("kind", "url"))
+    return rows.select("page_id", "kind", urls.canonical(u).alias("canonical_url"), urls.sanitized(u).alias("sanitized_url"), urls.is_valid(u).alias("valid"), urls.company_label(u).alias("company"))
 
 
 _TOK = f"regexp_extract_all(lower(coalesce(text, '')), '{text.TOKEN}')"

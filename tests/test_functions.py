@@ -44,8 +44,8 @@ def test_cleaners(spark):
 
 
 def test_urls(spark):
-    assert one(spark, urls.canonical(C), "HTTPS://A.org//b/?utm_x=1&q=2&GCLID=3#f", "no url", None) == ["https://a.org/b?q=2", "no url", ""]
-    assert one(spark, urls.sanitized(C), "https://a.org/land/ad/12?ref=1#f") == ["https://a.org/details/12#f"]
+    assert one(spark, urls.canonical(C), "HTTPS://A.org//b/?utm_term=1&q=2&GCLID=3&ref=x#f", "no url", None) == ["https://a.org/b?q=2&ref=x", "no url", ""]
+    assert one(spark, urls.sanitized(C), "https://www.adzuna.com/land/ad/12?ref=1#f", "https://a.org/land/ad/12?app_key=k&ref=1#f") == ["https://www.adzuna.com/details/12", "https://a.org/land/ad/12?ref=1#f"]
     assert one(spark, urls.is_valid(C), "", "ftp://a", "http://", "https://a") == [True, False, False, True]
     assert one(spark, urls.company_label(C), "https://jobs.acme.com/x", "") == ["acme", ""]
 
