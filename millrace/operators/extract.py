@@ -98,12 +98,15 @@ def stated_years(c: Column) -> Column:
 
 def contacts(rows: DataFrame, key: str = "doc_id") -> DataFrame:
     """(key, pos, kind, found): contact data by line; a phone number has 10 to 15 digits and a separator."""
-    kinds = (("email", text.EMAIL), ("url", text.URL), ("phone", text.PHONE))
+    # most lines have none: a plain containment test goes before each pattern
+    some_digits = F.length(F.translate("line", "0123456789", "")) <= F.length("line") - 7
+    kinds = (("email", text.EMAIL, F.contains("line", F.lit("@"))), ("url", text.URL, F.contains("line", F.lit("://"))), ("phone", text.PHONE, some_digits))
 
-    def hits(kind: str, pattern: str) -> Column:
-        return F.transform(F.regexp_extract_all(F.col("line"), F.lit(pattern), F.lit(0)), lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("found")))
+    def hits(kind: str, pattern: str, may: Column) -> Column:
+        found = F.transform(F.regexp_extract_all(F.col("line"), F.lit(pattern), F.lit(0)), lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("found")))
+        return F.when(may, found).otherwise(F.array().cast("array<struct<kind:string,found:string>>"))
 
-    found = F.flatten(F.array(*[hits(k, p) for k, p in kinds]))
+    found = F.flatten(F.array(*[hits(*kind) for kind in kinds]))
     out = rows.select(key, "pos", F.explode(found).alias("f")).select(key, "pos", "f.kind", "f.found")
     digits = F.length(F.regexp_replace("found", "[^0-9]", ""))
     return out.where((F.col("kind") != "phone") | (digits.between(10, 15) & F.col("found").rlike(r"[ +()./-]")))

@@ -1,72 +1,13 @@
-"""Document quality: features of the text and an ordered label."""
+"""Named gaps of a record."""
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from millrace.functions import text
 
 
-@dataclass(frozen=True)
-class QualityRules:
-    """Vocabularies and limits. A unit is boilerplate if it contains one of the phrases, in lower case."""
-
-    boilerplate: tuple[str, ...] = ("license", "copyright", "cookie", "subscribe", "all rights reserved")
-    sections: tuple[str, ...] = ("requirements", "responsibilities", "the", "und", "les", "los")
-    least_words: int = 10
-    snippet_words: int = 60
-    ready_words: int = 150
-    boilerplate_share: float = 0.5
-
-
-def features(docs: DataFrame, column: str = "text", rules: QualityRules = QualityRules()) -> DataFrame:
-    """docs with n_words, n_units, boilerplate_words, section_hits, truncated."""
-    body = F.coalesce(F.col(column), F.lit(""))
-    units = text.sentences(body)
-    low = F.lower(body)
-
-    def boiler(unit: Column) -> Column:
-        found = F.lit(False)
-        for phrase in rules.boilerplate:
-            found = found | F.lower(unit).contains(phrase)
-        return found
-
-    hits = F.lit(0)
-    for name in rules.sections:
-        hits = hits + F.when(low.contains(name), 1).otherwise(0)
-    boiler_words = F.aggregate(F.filter(units, boiler), F.lit(0).cast("long"), lambda acc, u: acc + text.word_count(u).cast("long"))
-    return docs.withColumns({
-        "n_words": text.word_count(body).cast("long"),
-        "n_units": F.size(units).cast("long"),
-        "boilerplate_words": boiler_words,
-        "section_hits": hits.cast("long"),
-        "truncated": F.rtrim(body).rlike(r"(\.\.\.|…)$"),
-    })
-
-
-def label(rules: QualityRules = QualityRules()) -> Column:
-    """The first that holds: empty, snippet, boilerplate, requirements_missing, ready, partial."""
-    return (
-        F.when(F.col("n_words") < rules.least_words, "empty_or_unreadable")
-        .when((F.col("n_words") < rules.snippet_words) | F.col("truncated"), "snippet_only")
-        .when(F.col("boilerplate_words") >= rules.boilerplate_share * F.col("n_words"), "mostly_boilerplate")
-        .when(F.col("section_hits") == 0, "requirements_missing")
-        .when(F.col("n_words") >= rules.ready_words, "ready")
-        .otherwise("partial")
-    )
-
-
-def score() -> Column:
-    """0 to 100: length, sections and own wording."""
-    length = F.least(F.col("n_words") / 3.0, F.lit(50.0))
-    parts = F.least(F.col("section_hits") * 10.0, F.lit(30.0))
-    own = 20.0 * (1 - F.col("boilerplate_words") / F.greatest(F.col("n_words"), F.lit(1)))
-    return F.bround(F.when(F.col("n_words") == 0, 0.0).otherwise(length + parts + own), 0).cast("int")
-
-
 def warnings(company: Column, title: Column, place: Column, url_ok: Column, n_words: Column) -> Column:
     """Named gaps of a record, in a fixed order."""
     return F.array_compact(F.array(

@@ -52,7 +52,7 @@ def _has(c: str, pattern: str) -> str:
 
 _WORDS = "len(regexp_extract_all({c}, '[\\p{{L}}\\p{{N}}_]([\\p{{L}}\\p{{N}}_+#.-]*[\\p{{L}}\\p{{N}}_])?'))"
 _SPLIT = "len(regexp_extract_all({c}, '\\S+'))"
-_QUALITY = f"""
+QUALITY = f"""
 b AS (SELECT *, {_STRIP.format(c=_BODY)} AS body, {_field('Source')} AS source, {_field('Description Source')} AS described, {_field('JD Fetch Status')} AS fetched FROM pairs),
 u AS (SELECT *, {_WORDS.format(c='body')}::BIGINT AS n_words,
   list_filter(list_transform(flatten(list_transform(list_filter(list_transform(string_split(body, chr(10)), lambda x: trim(x, ' -*•' || chr(9))), lambda x: x <> ''), lambda x: string_split(regexp_replace(x, '([.!?])\\s+', '\\1' || chr(10), 'g'), chr(10)))), lambda x: trim(x)), lambda x: x <> '') AS units FROM b),
@@ -71,7 +71,7 @@ q AS (SELECT *, round_even(greatest(0.0::DOUBLE, least(100.0::DOUBLE, points)),
 z AS (SELECT *, CASE WHEN saved THEN label IN ('empty_or_unreadable', 'likely_snippet', 'boilerplate_heavy', 'requirements_missing') ELSE n_words < 20 END AS incomplete FROM q)"""
 
 
-@query("jd_quality", f"""WITH {PAIRS}, {_QUALITY}
+@query("jd_quality", f"""WITH {PAIRS}, {QUALITY}
 SELECT o_orderkey, label, quality_score, n_words, array_to_string(sections, ',') AS sections, requirements, responsibilities, round(boilerplate, 9) AS boilerplate, truncated, saved, is_full, snippet, ready, incomplete,
   (n_words >= 20 AND requirements >= 1 AND boilerplate < 0.65::DOUBLE) AS provisional,
   CASE WHEN is_full OR snippet OR label IN ('empty_or_unreadable', 'scoring_ready') THEN 'high' ELSE 'medium' END AS sure,
@@ -138,7 +138,7 @@ def _category(i: int, name: str, points: int, keywords) -> list[str]:
 _CATS = list(enumerate((name, points, keywords) for name, (points, keywords) in v.CATEGORIES.items()))
 _FOCUS_CASE = _first([(_has("title", "(?i)" + "|".join(patterns)), _q(name)) for name, (patterns, _) in v.ROLE_FOCUS.items()]) + " END"
 _MATCHED_CASE = _first([(f"focus = {_q(name)}", "list_filter([" + ", ".join(f"CASE WHEN {_alias(a, 'cn')} THEN {_q(a)} END" for a in aliases) + "], lambda x: x IS NOT NULL)[1:5]") for name, (_, aliases) in v.ROLE_FOCUS.items()]) + " ELSE [] END"
-_SCORED = f"""WITH {PAIRS}, {_QUALITY}, {_profile()}, {_LINE},
+_SCORED = f"""WITH {PAIRS}, {QUALITY}, {_profile()}, {_LINE},
 d AS MATERIALIZED (SELECT p.*, coalesce(ld.req, []) AS req, coalesce(ld.pref, []) AS pref, job_years, job_degree, equivalent, senior FROM p LEFT JOIN ld USING (o_orderkey) LEFT JOIN le USING (o_orderkey)),
 c AS MATERIALIZED (SELECT *, {', '.join(x for i, (n, pts, ks) in _CATS for x in _category(i, n, pts, ks))},
   CASE WHEN regexp_extract(job, '(?m)^#\\s+(.+?)\\s*$', 1) <> '' THEN regexp_extract(job, '(?m)^#\\s+(.+?)\\s*$', 1) ELSE regexp_extract(job, '(?im)^Role:\\s*(.+?)\\s*$', 1) END AS title FROM d),

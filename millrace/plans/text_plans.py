@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from millrace.functions import keys, text, urls
-from millrace.operators import extract, quality
+from millrace.operators import extract, postings
+from millrace.plans.fit_plans import QUALITY
 from millrace.plans.spec import query
 from millrace.session import table
 
@@ -119,36 +120,21 @@ def token_stats(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.size(text.tokens(c)).cast("long").alias("n_tokens"), F.size(F.array_distinct(text.tokens(c))).cast("long").alias("n_distinct"), F.size(text.distinct_terms(c, ("the", "and", "der"), 3)).cast("long").alias("n_terms"))
 
 
-_WORDS = "len(regexp_extract_all({c}, '[\\p{{L}}\\p{{N}}_]([\\p{{L}}\\p{{N}}_+#.-]*[\\p{{L}}\\p{{N}}_])?'))"
-_UNITS = "list_filter(list_transform(string_split(regexp_replace(b, '([.!?])\\s+', E'\\\\1\\n', 'g'), chr(10)), lambda x: trim(x)), lambda x: x <> '')"
-
-
-def _quality_sql() -> str:
-    rules = quality.QualityRules()
-    boiler = " OR ".join(f"contains(lower(x), '{p}')" for p in rules.boilerplate)
-    hits = " + ".join(f"(contains(lower(b), '{s}'))::INT" for s in rules.sections)
-    return f"""
-WITH d AS (SELECT doc_id, lang, coalesce(text, '') AS b FROM documents),
-f AS (SELECT doc_id, lang, {_WORDS.format(c='b')}::BIGINT AS n_words, len({_UNITS})::BIGINT AS n_units,
-  coalesce(list_sum(list_transform(list_filter({_UNITS}, lambda x: {boiler}), lambda x: {_WORDS.format(c='x')})), 0)::BIGINT AS boilerplate_words,
-  ({hits})::BIGINT AS section_hits, regexp_matches(rtrim(b), '(\\.\\.\\.|…)$') AS truncated FROM d),
-q AS (SELECT *, CASE WHEN n_words < {rules.least_words} THEN 'empty_or_unreadable' WHEN n_words < {rules.snippet_words} OR truncated THEN 'snippet_only'
-    WHEN boilerplate_words >= {rules.boilerplate_share} * n_words THEN 'mostly_boilerplate' WHEN section_hits = 0 THEN 'requirements_missing'
-    WHEN n_words >= {rules.ready_words} THEN 'ready' ELSE 'partial' END AS label,
-  round_even(CASE WHEN n_words = 0 THEN 0.0::DOUBLE ELSE least(n_words / 3.0::DOUBLE, 50.0) + least(section_hits * 10.0::DOUBLE, 30.0) + 20.0::DOUBLE * (1 - boilerplate_words / greatest(n_words, 1)::DOUBLE) END, 0)::INT AS score FROM f)
-"""
+_DOCS = "pairs AS (SELECT doc_id, lang, coalesce(text, '') AS job FROM documents)"
 
 
 def _judged(spark, sf_dir):
-    return quality.features(table(spark, sf_dir, "documents")).withColumns({"label": quality.label(), "score": quality.score()})
+    q = F.col("quality")
+    docs = postings.quality(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"), "text")
+    return docs.select("doc_id", "lang", *[q[n].alias(n) for n in ("n_words", "requirements", "responsibilities", "truncated", "label", "score")], F.round(q["boilerplate"], 9).alias("boilerplate"))
 
 
-@query("quality_features", _quality_sql() + "SELECT doc_id, n_words, n_units, boilerplate_words, section_hits, truncated, label, score FROM q")
+@query("quality_features", f"WITH {_DOCS}, {QUALITY} SELECT doc_id, n_words, requirements, responsibilities, truncated, label, quality_score AS score, round(boilerplate, 9) AS boilerplate FROM z")
 def quality_features(spark, sf_dir):
-    return _judged(spark, sf_dir).select("doc_id", "n_words", "n_units", "boilerplate_words", "section_hits", "truncated", "label", "score")
+    return _judged(spark, sf_dir).drop("lang")
 
 
-@query("quality_by_lang", _quality_sql() + "SELECT lang, label, count(*) AS docs, sum(n_words)::BIGINT AS words, min(score) AS least_score, max(score) AS most_score FROM q GROUP BY lang, label")
+@query("quality_by_lang", f"WITH {_DOCS}, {QUALITY} SELECT lang, label, count(*) AS docs, sum(n_words)::BIGINT AS words, min(quality_score) AS least_score, max(quality_score) AS most_score FROM z GROUP BY lang, label")
 def quality_by_lang(spark, sf_dir):
     return _judged(spark, sf_dir).groupBy("lang", "label").agg(F.count("*").alias("docs"), F.sum("n_words").alias("words"), F.min("score").alias("least_score"), F.max("score").alias("most_score"))
 
