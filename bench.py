@@ -11,7 +11,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 HEADLINE = (
     "quality_by_lang", "norm_fingerprints", "url_canonical", "keyword_hits", "section_lines", "contact_findings", "exact_dups", "near_dups",
-    "contamination", "score_final", "ranked_view", "tracker_filter_sort", "tracker_upsert", "event_latest_state", "seen_upsert", "region_facets",
+    "contamination", "score_final", "score_job_texts", "review_labels", "header_lines", "ranked_view", "tracker_filter_sort", "tracker_upsert", "event_latest_state", "seen_upsert", "region_facets",
     "cramers_v", "fleiss_kappa", "ranking_by_group", "pair_features", "evidence_topk", "tfidf_cosine",
 )
 

@@ -190,7 +190,7 @@ def scored(rows: DataFrame, job: str, candidate: str, rules: FitRules = FitRules
     found = postings.quality(eligibility(breakdown(demanded(rows, job, candidate, rules), rules), job, candidate), job, "_")
     found = found.withColumn("_focus", role_focus(F.col(job), F.col(candidate), rules))
     total = lambda value: F.aggregate("_parts", F.lit(0.0), lambda acc, p: acc + F.when(p["earned"].isNull(), 0.0).otherwise(value(p)))
-    raw = total(lambda p: p["earned"]) / total(lambda p: p["possible"].cast("double")) * 100
+    raw = F.try_divide(total(lambda p: p["earned"]), total(lambda p: p["possible"].cast("double"))) * 100
     lost = F.lit(0)
     for pattern, points in rules.penalties:
         lost = lost + F.when(text.fit_text(F.col(job)).rlike(pattern), points).otherwise(0)

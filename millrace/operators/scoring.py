@@ -44,14 +44,20 @@ def focused(score: Column, alignment: Column) -> Column:
     return F.when(alignment.isNull(), score).otherwise(F.least(score, F.bround(0.75 * score + 0.25 * alignment, 0).cast("int")))
 
 
-def calibrated(score: Column, evidence: Column, full: int = 4) -> Column:
-    """Scores above 50 shrink toward it while fewer than `full` demands back them, half-even: 1 of 1 gives 62."""
-    share = F.least(evidence / float(full), F.lit(1.0))
-    return F.when(score > 50, F.bround(50 + (score - 50) * share, 0).cast("int")).otherwise(score)
+def calibrated(score: Column, demands: Column, role: Column | None = None, incomplete: Column | None = None, full: int = 4) -> Column:
+    """Scores above 50 shrink toward it while fewer than `full` signals back them, half-even: 1 of 1 gives 62.
 
+    Signals are the demands and, if a role is known (1), one more; an incomplete posting has 3 at most."""
+    signals = demands + (F.lit(0) if role is None else role)
+    if incomplete is not None:
+        signals = F.when(incomplete, F.least(signals, F.lit(3))).otherwise(signals)
+    share = F.least(signals / float(full), F.lit(1.0))
+    return F.when((score > 50) & (share < 1), F.least(score, F.bround(50 + (score - 50) * share, 0).cast("int"))).otherwise(score)
 
-def confidence(words: Column, evidence: Column, active: Column) -> Column:
-    return F.when((words < 30) | (evidence < 2), "low").when((evidence < 4) | (active < 2), "medium").otherwise("high")
+
+def confidence(words: Column, demands: Column) -> Column:
+    """low below 20 words or 4 demands, high from 8 demands."""
+    return F.when((words < 20) | (demands < 4), "low").when(demands >= 8, "high").otherwise("medium")
 
 
 #: Least score of each recommendation, best first.

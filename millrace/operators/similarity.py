@@ -33,27 +33,6 @@ def pair_features(left: Column, right: Column) -> Column:
     return F.transform(F.array(F.struct(text.tokens(left).alias("l"), text.tokens(right).alias("r"))), of)[0]
 
 
-def evidence_score(left: Column, right: Column) -> Column:
-    """Half the share of left's terms, a tenth for any number shared, the rest Jaccard; at most .24 without a shared term."""
-
-    def of(both: Column) -> Column:
-        l, r = both["l"], both["r"]
-        shared = F.array_intersect(l, r)
-        share = F.when(F.size(l) == 0, 0.0).otherwise(F.size(shared) / F.size(l))
-        number = F.when(F.exists(shared, lambda t: t.rlike("^[0-9]")), 0.1).otherwise(0.0)
-        return F.when(F.size(shared) == 0, 0.0).otherwise(F.bround(0.5 * share + 0.4 * jaccard(l, r) + number, 6))
-
-    return F.transform(F.array(F.struct(text.distinct_terms(left).alias("l"), text.distinct_terms(right).alias("r"))), of)[0]
-
-
-def best_evidence(requirements: DataFrame, evidence: DataFrame, key: str, accept: float = 0.42) -> DataFrame:
-    """(key, requirement_id, evidence_id, similarity, accepted): each requirement's best evidence of its own key, the earliest among equals.
-    requirements: (key, requirement_id, requirement); evidence: (key, evidence_id, evidence)."""
-    scored = requirements.join(evidence, key).withColumn("similarity", evidence_score(F.col("requirement"), F.col("evidence")))
-    best = scored.groupBy(key, "requirement_id").agg(F.max(F.struct("similarity", (-F.col("evidence_id")).alias("minus"))).alias("b"))
-    return best.select(key, "requirement_id", (-F.col("b.minus")).alias("evidence_id"), F.col("b.similarity").alias("similarity"), (F.col("b.similarity") >= accept).alias("accepted"))
-
-
 def term_rows(df: DataFrame, key: str, column: str) -> DataFrame:
     """(key, term, tf) of tokens."""
     return df.select(key, F.explode(text.tokens(F.col(column))).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))

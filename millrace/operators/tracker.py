@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from millrace.operators.graph import staged
+
 #: Sort modes: the column that sorts, with what stands for null.
 SORTS = {"score": ("match_score", -1), "created": ("created_at", None), "status": ("status", None)}
 
@@ -32,7 +34,13 @@ def inserted(tracker: DataFrame, batch: DataFrame) -> DataFrame:
     fresh = batch.join(known, "job_url", "left_anti")
     first = fresh.withColumn("_n", F.when(F.coalesce("job_url", F.lit("")) == "", 1).otherwise(F.row_number().over(Window.partitionBy("job_url").orderBy("batch_order")))).where("_n = 1").drop("_n")
     top = tracker.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_top"))  # one row
-    numbered = first.withColumn("id", F.row_number().over(Window.orderBy("batch_order"))).join(F.broadcast(top)).withColumn("id", (F.col("id") + F.col("_top")).cast("bigint"))
+    # numbered range by range: each range of batch_order counts on from the ranges before it
+    spark = tracker.sparkSession
+    ranged = staged(first.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "batch_order").withColumn("_range", F.spark_partition_id()))
+    sizes = ranged.groupBy("_range").agg(F.count("*").alias("_n"))  # a row a range
+    before = sizes.select("_range", F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    own = ranged.withColumn("_own", F.row_number().over(Window.partitionBy("_range").orderBy("batch_order")))
+    numbered = own.join(F.broadcast(before), "_range").join(F.broadcast(top)).withColumn("id", (F.col("_own") + F.col("_before") + F.col("_top")).cast("bigint"))
     return tracker.unionByName(numbered.select(*tracker.columns))
 
 
@@ -46,21 +54,6 @@ def without(tracker: DataFrame, ids: Column) -> DataFrame:
     return tracker.where(~F.coalesce(ids, F.lit(False)))
 
 
-def age_days(since: Column, as_of: Column) -> Column:
-    """Whole days between two timestamps; null for an unreadable one."""
-    return F.floor((F.unix_timestamp(as_of) - F.unix_timestamp(since)) / 86400).cast("int")
-
-
-def next_action(status: Column, age: Column, due: int = 7) -> Column:
-    return (
-        F.when((status == "applied") & (age >= due), "follow up")
-        .when(status == "applied", "wait")
-        .when(status == "interview", "prepare")
-        .when(status.isin("rejected", "ignored"), "none")
-        .otherwise("apply")
-    )
-
-
 def two_tier(left: DataFrame, right: DataFrame, first: str, second: str, key: str) -> DataFrame:
     """left with .match: right's key by the first column, else the least by the second. Empty values match nothing."""
     exact = right.where(F.col(first) != "").groupBy(first).agg(F.min(key).alias("by_first"))

@@ -28,10 +28,10 @@ def tracker_filter_sort(spark, sf_dir):
     return tracker.rows(_tracker(spark, sf_dir), ("applied", "interview"), 40, "customer%1", "score").select("id", "company", "status", "match_score", "created_at")
 
 
-@query("tracker_upsert", f"WITH {_TRACKER}, k AS (SELECT * FROM t WHERE id % 2 = 0), b AS (SELECT * FROM t WHERE id % 2 = 1 AND id % 3 = 0), f AS (SELECT *, CASE WHEN job_url = '' THEN 1 ELSE row_number() OVER (PARTITION BY job_url ORDER BY id) END AS n FROM b WHERE job_url NOT IN (SELECT job_url FROM k WHERE job_url <> '')), g AS (SELECT *, row_number() OVER (ORDER BY id) + (SELECT max(id) FROM k) AS new_id FROM f WHERE n = 1) SELECT id, company, job_url FROM k UNION ALL SELECT new_id, company, job_url FROM g")
+@query("tracker_upsert", f"WITH {_TRACKER}, k AS (SELECT * FROM t WHERE id % 2 = 0), b AS (SELECT * FROM t WHERE id % 2 = 1), f AS (SELECT *, CASE WHEN job_url = '' THEN 1 ELSE row_number() OVER (PARTITION BY job_url ORDER BY id) END AS n FROM b WHERE job_url NOT IN (SELECT job_url FROM k WHERE job_url <> '')), g AS (SELECT *, row_number() OVER (ORDER BY id) + (SELECT max(id) FROM k) AS new_id FROM f WHERE n = 1) SELECT id, company, job_url FROM k UNION ALL SELECT new_id, company, job_url FROM g")
 def tracker_upsert(spark, sf_dir):
     rows = _tracker(spark, sf_dir)
-    batch = rows.where("id % 2 = 1 AND id % 3 = 0").withColumn("batch_order", F.col("id"))
+    batch = rows.where("id % 2 = 1").withColumn("batch_order", F.col("id"))
     return tracker.inserted(rows.where("id % 2 = 0"), batch).select("id", "company", "job_url")
 
 
@@ -45,16 +45,11 @@ def tracker_delete(spark, sf_dir):
     return tracker.without(_tracker(spark, sf_dir), F.col("id") % 10 == 3).groupBy("status").agg(F.count("*").alias("rows"), F.min("id").alias("first_id"))
 
 
-@query("tracker_follow_up", f"WITH {_TRACKER}, a AS (SELECT id, status, floor((epoch(TIMESTAMP '1998-09-01 12:00:00') - epoch(created_at::TIMESTAMP)) / 86400)::INT AS age FROM t) SELECT id, age, CASE WHEN status = 'applied' AND age >= 7 THEN 'follow up' WHEN status = 'applied' THEN 'wait' WHEN status = 'interview' THEN 'prepare' WHEN status IN ('rejected', 'ignored') THEN 'none' ELSE 'apply' END AS action FROM a")
-def tracker_follow_up(spark, sf_dir):
-    age = tracker.age_days(F.try_to_timestamp("created_at"), F.lit("1998-09-01 12:00:00").cast("timestamp"))
-    return _tracker(spark, sf_dir).withColumn("age", age).select("id", "age", tracker.next_action(F.col("status"), F.col("age")).alias("action"))
-
-
-@query("lookup_two_tier", f"WITH {_TRACKER}, r AS (SELECT * FROM t WHERE id % 4 = 0), l AS (SELECT * FROM t WHERE id % 4 = 1), u AS (SELECT job_url, min(id) AS m FROM r WHERE job_url <> '' GROUP BY job_url), c AS (SELECT company, min(id) AS m FROM r WHERE company <> '' GROUP BY company) SELECT l.id, coalesce(u.m, c.m) AS match FROM l LEFT JOIN u USING (job_url) LEFT JOIN c ON c.company = l.company")
+@query("lookup_two_tier", f"WITH {_TRACKER}, r AS (SELECT id, 'https://example.org/' || (id % 1500) AS job_url, CASE WHEN id % 3 = 0 THEN company ELSE '' END AS company FROM t), l AS (SELECT * FROM t), u AS (SELECT job_url, min(id) AS m FROM r WHERE job_url <> '' GROUP BY job_url), c AS (SELECT company, min(id) AS m FROM r WHERE company <> '' GROUP BY company) SELECT l.id, coalesce(u.m, c.m) AS match FROM l LEFT JOIN u USING (job_url) LEFT JOIN c ON c.company = l.company")
 def lookup_two_tier(spark, sf_dir):
     rows = _tracker(spark, sf_dir)
-    return tracker.two_tier(rows.where("id % 4 = 1"), rows.where("id % 4 = 0"), "job_url", "company", "id").select("id", "match")
+    other = rows.select("id", F.concat(F.lit("https://example.org/"), (F.col("id") % 1500).cast("string")).alias("job_url"), F.when(F.col("id") % 3 == 0, F.col("company")).otherwise("").alias("company"))
+    return tracker.two_tier(rows, other, "job_url", "company", "id").select("id", "match")
 
 
 @query("status_summary", "SELECT count(*) FILTER (o_orderstatus = 'O') AS open, count(*) FILTER (o_orderstatus = 'F') AS finished, count(*) FILTER (o_orderstatus = 'P' AND o_totalprice > 150000) AS large_partial FROM orders")
@@ -117,17 +112,6 @@ def pair_features(spark, sf_dir):
     return turns.join(after, ["conv_id", "turn"]).select("conv_id", "turn", similarity.pair_features(F.col("left_text"), F.col("right_text")).alias("f")).select("conv_id", "turn", "f.*")
 
 
-@query("evidence_topk", f"""WITH t AS (SELECT conv_id, turn, role, list_distinct(list_filter(list_transform({_TOK.format(c='text')}, lambda x: trim(x, '.-')), lambda x: length(x) >= 2)) AS s FROM conversations),
-p AS (SELECT a.conv_id, a.turn AS requirement_id, b.turn AS evidence_id, a.s AS l, b.s AS r, list_intersect(a.s, b.s) AS i FROM t a JOIN t b ON a.conv_id = b.conv_id AND a.role = 'user' AND b.role = 'assistant'),
-q AS (SELECT *, CASE WHEN len(i) = 0 THEN 0 ELSE round_even(0.5::DOUBLE * (len(i)::DOUBLE / len(l)) + 0.4::DOUBLE * (len(i)::DOUBLE / (len(l) + len(r) - len(i))) + CASE WHEN len(list_filter(i, lambda x: regexp_matches(x, '^[0-9]'))) > 0 THEN 0.1::DOUBLE ELSE 0 END, 6) END AS similarity FROM p),
-k AS (SELECT *, row_number() OVER (PARTITION BY conv_id, requirement_id ORDER BY similarity DESC, evidence_id) AS n FROM q) SELECT conv_id, requirement_id, evidence_id, similarity, similarity >= 0.42 AS accepted FROM k WHERE n = 1""")
-def evidence_topk(spark, sf_dir):
-    turns = table(spark, sf_dir, "conversations")
-    asked = turns.where("role = 'user'").select("conv_id", F.col("turn").alias("requirement_id"), F.col("text").alias("requirement"))
-    given = turns.where("role = 'assistant'").select("conv_id", F.col("turn").alias("evidence_id"), F.col("text").alias("evidence"))
-    return similarity.best_evidence(asked, given, "conv_id")
-
-
 @query("tfidf_cosine", f"""WITH t AS (SELECT item_id, unnest({_TOK.format(c='text')}) AS term FROM benchmark), f AS (SELECT item_id, term, count(*) AS tf FROM t GROUP BY ALL), n AS (SELECT count(*) AS n FROM benchmark),
 i AS (SELECT term, ln((1.0::DOUBLE + n) / (1.0::DOUBLE + count(*))) + 1 AS idf FROM f, n GROUP BY term, n), w AS (SELECT item_id, term, (1 + ln(tf)) * idf AS w FROM f JOIN i USING (term)), v AS (SELECT item_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY item_id)) AS w FROM w),
 c AS (SELECT a.item_id, b.item_id AS other_id, round_even(sum(a.w * b.w), 6) AS cosine FROM v a JOIN v b ON a.term = b.term AND a.item_id <> b.item_id GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY cosine DESC, other_id) AS r FROM c) SELECT item_id, other_id, cosine FROM k WHERE r = 1""")

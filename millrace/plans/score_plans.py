@@ -33,8 +33,8 @@ def score_breakdown(spark, sf_dir):
 _FINAL = f"""{_BREAK}, c AS (SELECT l_orderkey, round_even(least(greatest(10.0::DOUBLE * sum(round_even(earned * 10, 0)::BIGINT)::BIGINT / sum(possible)::BIGINT, 0.0), 100.0), 0)::INT AS coverage, sum(demands)::BIGINT AS evidence, count(*) AS active FROM b GROUP BY l_orderkey),
 f AS (SELECT c.*, o_totalprice, o_orderstatus, o_orderpriority, CASE WHEN o_orderkey % 4 = 0 THEN NULL WHEN o_orderkey % 4 = 1 THEN 100 ELSE 0 END AS alignment FROM c JOIN orders ON o_orderkey = l_orderkey),
 g AS (SELECT *, CASE WHEN alignment IS NULL THEN coverage ELSE least(coverage, round_even(0.75::DOUBLE * coverage + 0.25::DOUBLE * alignment, 0)::INT) END AS focus FROM f),
-h AS (SELECT *, CASE WHEN focus > 50 THEN round_even(50 + (focus - 50) * least(evidence / 4.0::DOUBLE, 1.0), 0)::INT ELSE focus END AS score,
-  CASE WHEN evidence < 2 THEN 'low' WHEN evidence < 4 OR active < 2 THEN 'medium' ELSE 'high' END AS confidence,
+h AS (SELECT *, CASE WHEN focus > 50 THEN round_even(50 + (focus - 50) * least((evidence + (alignment IS NOT NULL)::INT) / 4.0::DOUBLE, 1.0), 0)::INT ELSE focus END AS score,
+  CASE WHEN evidence < 4 THEN 'low' WHEN evidence >= 8 THEN 'high' ELSE 'medium' END AS confidence,
   CASE WHEN o_orderstatus = 'F' AND o_totalprice > 300000 THEN 'failed' WHEN o_orderpriority = '1-URGENT' THEN 'manual_review' ELSE 'passed' END AS eligibility FROM g),
 r AS (SELECT *, CASE WHEN eligibility = 'failed' THEN 'Skip / Not Eligible' WHEN eligibility = 'manual_review' OR confidence = 'low' THEN 'Manual Review'
   WHEN score >= 80 THEN 'Apply' WHEN score >= 65 THEN 'Apply / Maybe Apply' WHEN score >= 50 THEN 'Maybe Apply' ELSE 'Skip or Low Priority' END AS recommendation FROM h)"""
@@ -46,7 +46,7 @@ def _final(spark, sf_dir):
     alignment = F.when(F.col("l_orderkey") % 4 == 0, F.lit(None)).when(F.col("l_orderkey") % 4 == 1, 100).otherwise(0)
     status, _ = scoring.eligibility(("price", (F.col("o_orderstatus") == "F") & (F.col("o_totalprice") > 300000), "failed"), ("urgent", F.col("o_orderpriority") == "1-URGENT", "manual_review"))
     out = parts.join(orders, "l_orderkey").withColumn("focus", scoring.focused(F.col("coverage"), alignment))
-    out = out.withColumns({"score": scoring.calibrated(F.col("focus"), F.col("evidence")), "confidence": scoring.confidence(F.lit(100), F.col("evidence"), F.col("active")), "eligibility": status})
+    out = out.withColumns({"score": scoring.calibrated(F.col("focus"), F.col("evidence"), alignment.isNotNull().cast("int")), "confidence": scoring.confidence(F.lit(100), F.col("evidence")), "eligibility": status})
     return out.withColumn("recommendation", scoring.recommendation(F.col("score"), F.col("eligibility"), F.col("confidence")))
 
 

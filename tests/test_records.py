@@ -18,7 +18,7 @@ def test_salary(spark):
 
 
 def test_canonical_records(spark):
-    raw = table(spark, [(" A &amp; B ", None, "https://x.org/?utm_a=1", ""), (None, "T", None, "Oslo")], "t string, u string, l string, p string")
+    raw = table(spark, [(" A &amp; B ", None, "https://x.org/?utm_term=1", ""), (None, "T", None, "Oslo")], "t string, u string, l string, p string")
     rows = records.canonical(raw, {"title": [F.col("t"), F.col("u")], "url": [F.col("l")], "location": [F.col("p")]}, "api").collect()
     assert [tuple(r) for r in rows] == [("api", "A & B", "https://x.org/", ""), ("api", "T", "", "Oslo")]
     one = table(spark, [("Oslo", None, "NO")], "a string, b string, c string")
