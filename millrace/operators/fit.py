@@ -195,7 +195,7 @@ def scored(rows: DataFrame, job: str, candidate: str, rules: FitRules = FitRules
     for pattern, points in rules.penalties:
         lost = lost + F.when(text.fit_text(F.col(job)).rlike(pattern), points).otherwise(0)
     active = F.aggregate("_parts", F.lit(0), lambda acc, p: acc + F.size(p["matched"]) + F.size(p["partial"]) + F.size(p["missing"]))
-    found = found.withColumns({"_coverage": F.coalesce(F.greatest(F.lit(0), F.least(F.lit(100), numbers.whole(raw - lost))), F.lit(0)), "_active": active})
+    found = found.withColumns({"_coverage": F.when(raw.isNull(), 0).otherwise(F.greatest(F.lit(0), F.least(F.lit(100), numbers.whole(raw - lost)))), "_active": active})
     blend = F.least(F.col("_coverage"), numbers.whole(F.col("_coverage") * 0.75 + F.col("_focus")["score"] * 0.25))
     found = found.withColumn("_observed", F.when(F.col("_focus")["focus"].isNull(), F.col("_coverage")).otherwise(blend))
     signals = F.col("_active") + F.col("_focus")["focus"].isNotNull().cast("int")
