@@ -27,7 +27,7 @@ ALPHA = 0.4
 #: Bytes of text in a block: a task holds about forty times as much in arrays, or as a longer document's.
 BLOCK_BYTES = 3 << 20
 #: Blocks for each partition of the count table, which takes about as many times a block's n-grams into one task.
-SPREAD = 8
+SPREAD = 3
 TOTAL = np.uint64(0)  # stands for the count of all words
 
 
