@@ -19,7 +19,8 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 #: Words kept after a second sight, and words seen once.
 OLD_WORDS = 500_000
 YOUNG_WORDS = 450_000
-_IRREGULAR = re.compile(r"[^\S \n]|[ \n]{2}|\A\s|\s\Z")
+#: What keeps a text from being cut at every space or line feed: runs of them, and white space of other kinds.
+_IRREGULAR = ["  ", " \n", "\n ", "\n\n", *(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n")]
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 
 
@@ -33,6 +34,7 @@ class WordEncoder:
         marks = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         if any(t.normalized for t in self.tokenizer.get_added_tokens_decoder().values()) or any(re.search(r"\s", m) for m in marks):
             raise ValueError("special tokens that are normalized or hold white space are not supported")
+        self.opening = os.path.commonprefix(marks)
         self.marks = re.compile("|".join(map(re.escape, sorted(marks, key=len, reverse=True))) or r"\b\B")
         self.byte_level = byte_level
         self.cache: dict[str, bytes] = {}  # words seen once
@@ -71,15 +73,15 @@ class WordEncoder:
     def _words(self, text: str) -> list[str]:
         if not self.byte_level:
             return text.replace("\n", " ").split(" ")
-        if _IRREGULAR.search(text):
+        if text[:1].isspace() or text[-1:].isspace() or any(map(text.__contains__, _IRREGULAR)):
             return _CUT.split(text)
         return text.replace("\n", " \n").split(" ")
 
     def ids(self, texts: list[str]) -> list[bytes]:
-        marked = [i for i, t in enumerate(texts) if self.marks.search(t)]
+        marked = {i for i, t in enumerate(texts) if self.opening in t and self.marks.search(t)}
         if marked:
-            out = self._ids(["" if self.marks.search(t) else t for t in texts])
-            for i, found in zip(marked, self._alone([texts[i] for i in marked]), strict=True):
+            out = self._ids(["" if i in marked else t for i, t in enumerate(texts)])
+            for i, found in zip(sorted(marked), self._alone([texts[i] for i in sorted(marked)]), strict=True):
                 out[i] = found
             return out
         return self._ids(texts)
