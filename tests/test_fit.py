@@ -95,3 +95,11 @@ def test_review_ages(spark):
     now = F.lit(datetime.datetime(2024, 5, 10, 12))
     rows = spark.createDataFrame([("2024-05-01", ""), ("", "2024-05-09 18:30"), ("2024-06-01", ""), ("soon", "2024-05-01"), ("", "")], "a string, c string")
     assert [r[0] for r in rows.select(review.age_days(F.col("a"), F.col("c"), now)).collect()] == [9, 0, 0, None, None]
+
+
+def test_exact_rounding(spark):
+    from millrace.functions import numbers
+
+    values = [i / 80000 for i in range(0, 80000, 7)] + [0.02125, 2.675, 0.15, 0.25, 0.35, 26.666666666666668]
+    rows = spark.createDataFrame([(v,) for v in values], "v double").select("v", numbers.fourth(F.col("v")).alias("four"), numbers.tenth(F.col("v")).alias("one")).collect()
+    assert all((r.four, r.one) == (round(r.v, 4), round(r.v, 1)) for r in rows)
