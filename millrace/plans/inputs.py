@@ -51,11 +51,15 @@ CANDIDATE = _lines(
 )
 
 
+def dealt_orders(spark, sf_dir: str) -> DataFrame:
+    """Orders dealt out by key while they are narrow: a small file is one partition, and work on the texts made of them is work by the row."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
+    return orders.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "o_orderkey")
+
+
 def pairs(spark, sf_dir: str) -> DataFrame:
     """(o_orderkey, job, candidate): every order's posting beside its customer's candidate text."""
-    # narrow rows are dealt out before the texts are made: a small file is one partition, and scoring is work by the row
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "o_orderkey")
-    jobs = orders.select("o_orderkey", "o_custkey", F.expr(JOB).alias("job"))
+    jobs = dealt_orders(spark, sf_dir).select("o_orderkey", "o_custkey", F.expr(JOB).alias("job"))
     people = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), F.expr(CANDIDATE).alias("candidate"))
     return jobs.join(people, "o_custkey").select("o_orderkey", "job", "candidate")
 
