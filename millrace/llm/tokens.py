@@ -77,7 +77,10 @@ class WordEncoder:
                 self.tails[tail] = self._alone([tail])[0]
         else:
             stem = word
-        return (stem.lower() if self.lowers and _LATIN(stem) else stem), tail
+        if self.lowers and _LATIN(stem):
+            low = stem.lower()
+            stem = stem if self.opening in low else low  # a special token is one in its own case only
+        return stem, tail
 
     def _meet(self, words: dict[str, None]) -> None:
         """Puts words that are not in old into the cache, those seen once before into old as well."""

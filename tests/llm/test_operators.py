@@ -342,7 +342,9 @@ def test_word_cache_gives_the_library_ids(name, byte_level, docs, monkeypatch):
     monkeypatch.setattr(tokens, "OLD_WORDS", 50)
     monkeypatch.setattr(tokens, "YOUNG_WORDS", 50)
     encoder = tokens.WordEncoder(public_tokenizers.path(name), byte_level)
-    texts = ["", " ", "\n", " a  b\n\n c\t d ", "x\n", "it's  we'll \n 12|34 | |", "a b  c", "é İ ΣAΣ Σ", "\na b", "a \nb", "a\n b", "a\x1cb \x1c c", "<|endoftext|> </w>", "a <|endoftext|> b", "x<|endoftext|>y <|startoftext|>z", "<|ENDOFTEXT|> <|endoftext", "\x85 a\x85b "] + [d.text for d in docs[:60]]
+    texts = ["", " ", "\n", " a  b\n\n c\t d ", "x\n", "it's  we'll \n 12|34 | |", "a b  c", "é İ ΣAΣ Σ", "\na b", "a \nb", "a\n b", "a\x1cb \x1c c", "<|endoftext|> </w>", "a <|endoftext|> b", "x<|endoftext|>y <|startoftext|>z", "<|ENDOFTEXT|> <|endoftext", "\x85 a\x85b "]
+    texts += ["Word, word. WORD; word", "İ, yİ. aσ, ΟΔΟΣ. Å! ß? ÉTÉ. x\u0301, 中, ٣. ½, ª, a?!a?! 3.14, it's, It'S. end</w>. %., " + "x" + "." * 30, "\nfoo, a  b,\tc. \n"]
+    texts += [d.text for d in docs[:60]]
     library = Tokenizer.from_file(public_tokenizers.path(name))
     want = [np.array(library.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
     assert 49407 in np.frombuffer(want[texts.index("a <|endoftext|> b")], "<u4") or byte_level
