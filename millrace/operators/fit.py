@@ -1,18 +1,19 @@
 """Fit of a candidate's text to a posting's text: demands, coverage, eligibility, confidence and a recommendation.
 
-Every pair is scored in its own row, by built-in expressions only; nothing is shuffled. Vocabularies are parameters."""
+Every pair is scored in its own row, in Python batches (fit_scorer); nothing is shuffled. Vocabularies are parameters."""
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.functions import numbers, text, vocabulary
-from millrace.operators import postings
-from millrace.operators.extract import any_alias, bound, named
+from millrace.functions import text, vocabulary
+from millrace.operators.extract import bound
+from millrace.operators.fit_scorer import Scorer
 
 
 @dataclass(frozen=True)
@@ -31,10 +32,6 @@ class FitRules:
     partial: float = 0.6
 
 
-def posting_lines(c: Column) -> Column:
-    return F.filter(F.transform(postings.line_array(c), lambda x: F.btrim(x, F.lit(" -\t"))), lambda x: x != "")
-
-
 def candidate_profile(c: Column) -> Column:
     """(level, years, degree, n_evidence) that a candidate's text states."""
     return bound(F.struct(text.fit_text(c).alias("norm"), F.lower(F.coalesce(c, F.lit(""))).alias("low")), lambda x: _profile(x["norm"], x["low"]))
@@ -56,168 +53,73 @@ def _profile(norm: Column, low: Column) -> Column:
     return bound(made, lambda p: F.struct(F.coalesce(p["level"], by_years(p)).alias("level"), p["years"].alias("years"), p["degree"].alias("degree"), count(p).alias("n_evidence")))
 
 
-def _line_facts(rules: FitRules):
-    """Of one line (raw, norm): whether it wishes, levels, required years and degree, seniority. Plain containment goes before regular expressions."""
-
-    def facts(x: Column) -> Column:
-        raw, norm = x["raw"], x["norm"]
-        trimmed = postings.stripped(raw)
-        title = F.btrim(raw, F.lit("#*: -"))
-        title = F.when(title.rlike(r"(?i)^(?:role|title)\s*:\s*"), postings.stripped(F.regexp_replace(title, "^[^:]*:", ""))).otherwise(title)
-        senior = title.rlike(r"(?i)^(?:senior|staff|principal)\s+[A-Za-z]") | title.rlike(r"(?i)^(?:engineering|product|data|machine learning) manager\b") | title.rlike(r"(?i)\b5\+?\s*years\s+in\s+a\s+senior\s+role\b")
-        dated = norm.contains("year") | norm.contains("yrs")
-        strict = norm.contains("requir") | norm.contains("must") | norm.contains("minimum")
-        by_years = F.when(~dated, None).when(norm.rlike(r"\b(?:5\+?|five|at least 5)\s*(?:years|yrs)\b"), "senior-level").when(norm.rlike(r"\b(?:3\+?|three|at least 3)\s*(?:years|yrs)\b"), "mid-level")
-        by_title = F.when(trimmed.rlike(r"(?i)^(?:role|title)?\s*:?[ ]*(?:(?:senior|staff|principal)\b|(?:engineering|product|data|machine learning) manager\b)"), "senior-level")
-        years = F.regexp_extract(norm, r"\b(\d+(?:\.\d+)?)\+?\s*(?:years|yrs)\b", 1)
-        demands = F.contains(raw, F.lit("+")) | norm.rlike(r"\b(?:required|requires?|must|minimum|at least)\b")
-        degree = F.when(norm.rlike(vocabulary.DEGREES["phd"]), "phd").when(norm.rlike(vocabulary.DEGREES["master"]), "master")
-        return F.struct(
-            norm.alias("norm"),
-            any_alias(norm, rules.preferred).alias("wish"),
-            F.array_compact(F.array(by_years, by_title)).alias("levels"),
-            F.when(dated & demands, F.when(years != "", years).cast("double")).alias("years"),
-            F.when(strict & norm.rlike(r"\b(?:required|requires?|must|minimum)\b"), degree).alias("degree"),
-            (norm.contains("equivalent") & norm.contains("experience")).alias("equivalent"),
-            senior.alias("senior"),
-        )
-
-    return facts
-
-
-def demanded(rows: DataFrame, job: str, candidate: str, rules: FitRules = FitRules()) -> DataFrame:
-    """rows with _lines (facts of the posting's lines), _required, _preferred (keywords), _has (the candidate's keywords) and _profile."""
-    lines = F.transform(posting_lines(F.col(job)), lambda x: F.struct(x.alias("raw"), text.fit_text(x).alias("norm")))
-    found = rows.withColumn("_lines", F.transform(lines, _line_facts(rules)))
-    of = lambda wish: F.filter("_lines", lambda x: x["wish"] if wish else ~x["wish"])
-    # no alias reaches over a line's end, so keywords are looked up once in all lines of a kind
-    joined = lambda wish: F.array_join(F.transform(of(wish), lambda x: x["norm"]), "\n")
-    levels = lambda wish: F.flatten(F.transform(of(wish), lambda x: x["levels"]))
-    found = found.withColumns({"_required": joined(False), "_preferred": joined(True), "_asked_levels": levels(False), "_wished_levels": levels(True)})
-    asked = lambda column, more: F.array_distinct(F.concat(named(F.col(column), rules.keywords), F.col(more)))
-    found = found.withColumns({"_required": asked("_required", "_asked_levels"), "_preferred": asked("_preferred", "_wished_levels"), "_has": named(text.fit_text(F.col(candidate)), rules.keywords), "_profile": candidate_profile(F.col(candidate))})
-    return found.drop("_asked_levels", "_wished_levels")
-
-
-def breakdown(rows: DataFrame, rules: FitRules = FitRules()) -> DataFrame:
-    """demanded() rows with _parts: per category possible, earned (null if nothing is demanded) and the matched, partial and missing keywords."""
-    has = lambda column, k: F.array_contains(column, k)
-    parts = []
-    for name, (points, keywords) in rules.categories.items():
-        terms = []
-        for k in keywords:
-            required, wished = has("_required", k), has("_preferred", k)
-            if name == rules.level_category:
-                weight = F.when(required, rules.required_weight).when(wished, rules.preferred_weight)
-                level = F.col("_profile")["level"]
-                strength = F.lit(0.0)
-                for own, covers in rules.level_coverage.items():
-                    if k in covers:
-                        strength = F.when(level == own, covers[k]).otherwise(strength)
-            else:
-                weight = F.when(wished, rules.preferred_weight).when(required, rules.required_weight)
-                strength = F.when(has("_has", k), 1.0)
-                if k in rules.adjacent:
-                    strength = strength.when(F.arrays_overlap("_has", F.array(*[F.lit(x) for x in rules.adjacent[k]])), rules.partial)
-                strength = strength.otherwise(0.0)
-            terms.append(F.struct(F.lit(k).alias("keyword"), weight.alias("weight"), strength.alias("strength")))
-        active = F.filter(F.array(*terms), lambda t: t["weight"].isNotNull())
-        parts.append(F.struct(F.lit(name).alias("category"), F.lit(points).alias("possible"), active.alias("terms")))
-
-    def summed(p: Column) -> Column:
-        possible = F.aggregate(p["terms"], F.lit(0.0), lambda acc, t: acc + t["weight"])
-        earned = F.aggregate(p["terms"], F.lit(0.0), lambda acc, t: acc + t["weight"] * t["strength"])
-        of = lambda test: F.transform(F.filter(p["terms"], test), lambda t: t["keyword"])
-        share = F.when(F.size(p["terms"]) > 0, earned / possible * p["possible"])
-        return F.struct(p["category"].alias("category"), p["possible"].alias("possible"), numbers.tenth(share).alias("earned"), of(lambda t: t["strength"] == 1).alias("matched"), of(lambda t: (t["strength"] > 0) & (t["strength"] < 1)).alias("partial"), of(lambda t: t["strength"] == 0).alias("missing"))
-
-    return rows.withColumn("_parts", F.array(*parts)).withColumn("_parts", F.transform("_parts", summed))
-
-
-def role_focus(job: Column, candidate: Column, rules: FitRules = FitRules()) -> Column:
-    """(title, focus, score, matched) by the first family that the title names; focus null without one."""
-    whole = F.coalesce(job, F.lit(""))
-    heading = F.regexp_extract(whole, r"(?md)^#\s+(.+?)\s*$", 1)
-    title = F.when(heading != "", heading).otherwise(F.regexp_extract(whole, r"(?imd)^Role:\s*(.+?)\s*$", 1))
-    norm = text.fit_text(candidate)
-    none = F.array().cast("array<string>")
-
-    def judged(x: Column) -> Column:
-        focus, matched = F.lit(None).cast("string"), none
-        for name, (patterns, aliases) in reversed(rules.focus.items()):
-            hit = x["title"].rlike("(?i)" + "|".join(patterns))
-            shown = F.slice(F.array_compact(F.array(*[F.when(any_alias(x["norm"], [a]), F.lit(a)) for a in aliases])), 1, 5)
-            focus, matched = F.when(hit, F.lit(name)).otherwise(focus), F.when(hit, shown).otherwise(matched)
-        return F.struct(x["title"].alias("title"), focus.alias("focus"), matched.alias("matched"))
-
-    found = bound(F.struct(title.alias("title"), norm.alias("norm")), judged)
-    return bound(found, lambda x: F.struct(x["title"].alias("title"), x["focus"].alias("focus"), F.when(x["focus"].isNotNull(), F.when(F.size(x["matched"]) > 0, 100).otherwise(0)).alias("score"), x["matched"].alias("matched")))
-
-
-def eligibility(rows: DataFrame, job: str, candidate: str) -> DataFrame:
-    """demanded() rows with _status and _codes: the outcome of the explicit requirements and its reasons, in order."""
-    required = F.filter("_lines", lambda x: ~x["wish"])
-    with_degree = F.filter(required, lambda x: x["degree"].isNotNull())
-    both = F.struct(text.fit_text(F.col(job)).alias("job"), text.fit_text(F.col(candidate)).alias("own"))
-    rows = rows.withColumn("_papers", bound(both, lambda x: F.struct(any_alias(x["job"], vocabulary.AUTHORIZATION).alias("asks"), any_alias(x["job"], vocabulary.AUTHORIZATION_HELD).alias("asks_held"), any_alias(x["own"], vocabulary.CANDIDATE_NEEDS).alias("needs"), any_alias(x["own"], vocabulary.CANDIDATE_HOLDS).alias("holds"))))
-    facts = F.struct(
-        F.array_max(F.transform(required, lambda x: x["years"])).alias("years"),
-        F.get(with_degree, F.lit(0)).alias("degree"),
-        F.exists("_lines", lambda x: x["senior"]).alias("senior"),
-        "_papers.*",
-    )
-    found = rows.withColumn("_facts", facts).drop("_papers")
-    f, p = F.col("_facts"), F.col("_profile")
-    ranks = F.create_map(*[F.lit(x) for k, v in vocabulary.DEGREE_RANK.items() for x in (k, v)])
-    short = ranks[p["degree"]] < ranks[f["degree"]["degree"]]
-    years = F.when(f["years"].isNull(), None).when(p["years"].isNotNull(), F.when(p["years"] < f["years"], 2)).when(p["level"].isin("student", "new_grad") & (f["years"] >= 3), 2).otherwise(1)
-    degree = F.when(f["degree"].isNull(), None).when(f["degree"]["equivalent"] & short, 1).when(p["degree"] == "unknown", 1).when(short, 2)
-    code = F.when(f["degree"]["equivalent"] & short, "graduate_degree_equivalent").otherwise("graduate_degree")
-    senior = F.when(f["senior"], F.when(p["level"].isin("student", "new_grad", "junior"), 2).when(p["level"] == "unknown", 1))
-    papers = F.when(f["asks"] & ~f["holds"], F.when(f["asks_held"] & f["needs"], 2).otherwise(1))
-    cases = ((F.lit("minimum_experience"), years), (code, degree), (F.lit("seniority_requirement"), senior), (F.lit("work_authorization"), papers))
-    found = found.withColumn("_cases", F.filter(F.array(*[F.struct(c.alias("code"), o.cast("int").alias("outcome")) for c, o in cases]), lambda x: x["outcome"].isNotNull()))
-    worst = F.array_max(F.transform("_cases", lambda x: x["outcome"]))
-    return found.withColumns({"_status": F.when(worst == 2, "failed").when(worst == 1, "manual_review").otherwise("passed"), "_codes": F.transform("_cases", lambda x: x["code"])}).drop("_facts", "_cases")
-
-
-#: Least score of each recommendation, best first.
-BANDS = ((80, "Apply"), (65, "Apply / Maybe Apply"), (50, "Maybe Apply"))
-
-
-def scored(rows: DataFrame, job: str, candidate: str, rules: FitRules = FitRules()) -> DataFrame:
-    """rows with a struct column `fit`: scores, role focus, eligibility, confidence, quality, recommendation, breakdown, demands and flags."""
-    found = postings.quality(eligibility(breakdown(demanded(rows, job, candidate, rules), rules), job, candidate), job, "_")
-    found = found.withColumn("_focus", role_focus(F.col(job), F.col(candidate), rules))
-    total = lambda value: F.aggregate("_parts", F.lit(0.0), lambda acc, p: acc + F.when(p["earned"].isNull(), 0.0).otherwise(value(p)))
-    raw = F.try_divide(total(lambda p: p["earned"]), total(lambda p: p["possible"].cast("double"))) * 100
-    lost = F.lit(0)
-    for pattern, points in rules.penalties:
-        lost = lost + F.when(text.fit_text(F.col(job)).rlike(pattern), points).otherwise(0)
-    active = F.aggregate("_parts", F.lit(0), lambda acc, p: acc + F.size(p["matched"]) + F.size(p["partial"]) + F.size(p["missing"]))
-    found = found.withColumns({"_coverage": F.when(raw.isNull(), 0).otherwise(F.greatest(F.lit(0), F.least(F.lit(100), numbers.whole(raw - lost)))), "_active": active})
-    blend = F.least(F.col("_coverage"), numbers.whole(F.col("_coverage") * 0.75 + F.col("_focus")["score"] * 0.25))
-    found = found.withColumn("_observed", F.when(F.col("_focus")["focus"].isNull(), F.col("_coverage")).otherwise(blend))
-    signals = F.col("_active") + F.col("_focus")["focus"].isNotNull().cast("int")
-    share = F.least(F.lit(1.0), F.when(F.col("_quality")["incomplete"], F.least(signals, F.lit(3))).otherwise(signals) / 4.0)
-    shrunk = F.least(F.col("_observed"), numbers.whole(50 + (F.col("_observed") - 50) * share))
-    evidence = F.size("_has") + F.col("_profile")["n_evidence"]
-    short = (F.col("_quality")["saved"] & F.col("_quality")["incomplete"]) | (~(F.col("_quality")["saved"] & F.col("_quality")["incomplete"]) & (F.col("_quality")["n_words"] < 20))
-    doubts = F.array_compact(F.array(F.when(postings.stripped(F.coalesce(F.col(candidate), F.lit(""))) == "", "no candidate text"), F.when(short, "posting too short"), F.when(F.col("_active") < 4, "few demands"), F.when(evidence == 0, "no evidence")))
-    found = found.withColumns({"_score": F.when((F.col("_observed") > 50) & (share < 1), shrunk).otherwise(F.col("_observed")), "_evidence": evidence, "_doubts": doubts})
-    sure = F.when(F.size("_doubts") > 0, "low").when(F.col("_active") >= 8, "high").otherwise("medium")
-    band = F.lit("Skip or Low Priority")
-    for least, name in reversed(BANDS):
-        band = F.when(F.col("_score") >= least, name).otherwise(band)
-    found = found.withColumn("_sure", sure)
-    advice = F.when(F.col("_status") == "failed", "Skip / Not Eligible").when((F.col("_status") == "manual_review") | (F.col("_sure") == "low"), "Manual Review").otherwise(band)
-
-    def flagged(x: Column) -> Column:
-        uk = any_alias(x["job"], vocabulary.UK_PLACES)
-        status = x["job"].rlike(vocabulary.STATUS_PATTERN) & ~x["own"].rlike(vocabulary.STATUS_PATTERN)
-        return F.array_compact(F.array(F.when(status, "status"), F.when(uk, "uk"), F.when(uk & any_alias(x["job"], vocabulary.UK_REVIEW), "uk_review"), F.when(uk & x["job"].rlike(vocabulary.UK_HELD_PATTERN), "uk_held")))
-
-    flags = bound(F.struct(text.fit_text(F.col(job)).alias("job"), text.fit_text(F.col(candidate)).alias("own")), flagged)
-    names = {"score": "_score", "coverage_score": "_coverage", "observed_score": "_observed", "focus": "_focus", "eligibility": "_status", "codes": "_codes", "confidence": "_sure", "doubts": "_doubts", "active": "_active", "evidence": "_evidence", "profile": "_profile", "quality": "_quality", "breakdown": "_parts", "required": "_required", "preferred": "_preferred"}
-    fit = F.struct(*[F.col(c).alias(n) for n, c in names.items()], advice.alias("recommendation"), flags.alias("flags"))
-    return found.withColumn("fit", fit).select(*rows.columns, "fit")
+_TEXTS = pa.list_(pa.string())
+
+
+def _struct(**members: pa.DataType) -> pa.DataType:
+    return pa.struct(members)
+
+
+#: Members of the result.
+FIT = {
+    "score": pa.int32(),
+    "coverage_score": pa.int32(),
+    "observed_score": pa.int32(),
+    "focus": _struct(title=pa.string(), focus=pa.string(), score=pa.int32(), matched=_TEXTS),
+    "eligibility": pa.string(),
+    "codes": _TEXTS,
+    "confidence": pa.string(),
+    "doubts": _TEXTS,
+    "active": pa.int32(),
+    "evidence": pa.int32(),
+    "profile": _struct(level=pa.string(), years=pa.float64(), degree=pa.string(), n_evidence=pa.int32()),
+    "quality": _struct(
+        label=pa.string(), score=pa.int32(), n_words=pa.int64(), sections=_TEXTS, requirements=pa.int64(), responsibilities=pa.int64(), boilerplate=pa.float64(),
+        **dict.fromkeys(("truncated", "saved", "full", "snippet", "ready", "incomplete", "provisional"), pa.bool_()), sure=pa.string(), reasons=_TEXTS,
+    ),
+    "breakdown": pa.list_(_struct(category=pa.string(), possible=pa.int32(), earned=pa.float64(), matched=_TEXTS, partial=_TEXTS, missing=_TEXTS)),
+    "required": _TEXTS,
+    "preferred": _TEXTS,
+    "recommendation": pa.string(),
+    "flags": _TEXTS,
+}
+
+
+def _shaped(value, kind: pa.DataType):
+    """Tuples as the dicts that Arrow takes for structs."""
+    if value is not None and pa.types.is_struct(kind):
+        return {x.name: _shaped(part, x.type) for x, part in zip(kind, value, strict=True)}
+    return [_shaped(x, kind.value_type) for x in value] if value is not None and pa.types.is_list(kind) else value
+
+
+def _column(values: list, kind: pa.DataType) -> pa.Array:
+    """values as an Arrow array; equal ones among nested values are put in shape once."""
+    if not pa.types.is_nested(kind):
+        return pa.array(values, kind)
+    places: dict = {}
+    at = [places.setdefault(x, len(places)) for x in values]
+    return pa.array([_shaped(x, kind) for x in places], kind).take(pa.array(at, pa.int32()))
+
+
+def _sql(kind: pa.DataType) -> str:
+    if pa.types.is_struct(kind):
+        return f"struct<{','.join(f'{x.name}:{_sql(x.type)}' for x in kind)}>"
+    if pa.types.is_list(kind):
+        return f"array<{_sql(kind.value_type)}>"
+    return {pa.int32(): "int", pa.int64(): "bigint", pa.float64(): "double", pa.bool_(): "boolean", pa.string(): "string"}[kind]
+
+
+def scored(rows: DataFrame, job: str, candidate: str, rules: FitRules = FitRules(), members: Sequence[str] = tuple(FIT)) -> DataFrame:
+    """rows with a struct column `fit`: scores, role focus, eligibility, confidence, quality, recommendation, breakdown, demands and flags.
+
+    members: those of FIT that are wanted; fewer cost less. Patterns of rules are Python's."""
+    kinds = {x: FIT[x] for x in members}
+
+    def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        scorer = Scorer(rules)
+        for jobs, candidates in batches:
+            found = [scorer.score(*pair) for pair in zip(jobs.to_pylist(), candidates.to_pylist(), strict=True)]
+            yield pa.StructArray.from_arrays([_column([x[name] for x in found], kind) for name, kind in kinds.items()], fields=[pa.field(*x) for x in kinds.items()])
+
+    fit = F.arrow_udf(run, _sql(pa.struct(kinds)))
+    return rows.withColumn("fit", fit(F.col(job), F.col(candidate)))

@@ -177,7 +177,7 @@ def score_job_texts(spark, sf_dir):
 
 @query("fit_breakdown", _SCORED + "\n" + "\nUNION ALL ".join(f"SELECT o_orderkey, {_q(n)} AS category, {pts} AS possible, p{i} AS earned, array_to_string(m{i}, ',') AS matched, array_to_string(a{i}, ',') AS partial, array_to_string(g{i}, ',') AS missing FROM w" for i, (n, pts, ks) in _CATS))
 def fit_breakdown(spark, sf_dir):
-    parts = fit.breakdown(fit.demanded(pairs(spark, sf_dir), "job", "candidate")).select("o_orderkey", F.explode_outer("_parts").alias("p"))  # not explode: its inferred filter would compute the parts again
+    parts = fit.scored(pairs(spark, sf_dir), "job", "candidate", members=("breakdown",)).select("o_orderkey", F.explode_outer("fit.breakdown").alias("p"))  # not explode: its inferred filter would compute the parts again
     return parts.select("o_orderkey", "p.category", "p.possible", "p.earned", *[F.array_join(F.col("p")[n], ",").alias(n) for n in ("matched", "partial", "missing")])
 
 
@@ -190,7 +190,7 @@ def candidate_profiles(spark, sf_dir):
 SELECT recommendation, confidence, eligibility, focus, count(*) AS pairs, min(score) AS least, max(score) AS most, sum(score)::BIGINT AS total, sum((coverage_score <> observed_score)::INT)::BIGINT AS focused, sum((observed_score <> score)::INT)::BIGINT AS calibrated FROM w GROUP BY ALL""")
 def fit_explained(spark, sf_dir):
     f = lambda n: F.col("fit")[n]
-    rows = fit.scored(pairs(spark, sf_dir), "job", "candidate")
+    rows = fit.scored(pairs(spark, sf_dir), "job", "candidate", members=("score", "coverage_score", "observed_score", "focus", "eligibility", "confidence", "recommendation"))
     changed = lambda a, b: F.sum((f(a) != f(b)).cast("int"))
     return rows.groupBy(f("recommendation").alias("recommendation"), f("confidence").alias("confidence"), f("eligibility").alias("eligibility"), F.col("fit")["focus"]["focus"].alias("focus")).agg(
         F.count("*").alias("pairs"), F.min(f("score")).alias("least"), F.max(f("score")).alias("most"), F.sum(f("score")).alias("total"), changed("coverage_score", "observed_score").alias("focused"), changed("observed_score", "score").alias("calibrated")

@@ -103,3 +103,34 @@ def test_exact_rounding(spark):
     values = [i / 80000 for i in range(0, 80000, 7)] + [0.02125, 2.675, 0.15, 0.25, 0.35, 26.666666666666668]
     rows = spark.createDataFrame([(v,) for v in values], "v double").select("v", numbers.fourth(F.col("v")).alias("four"), numbers.tenth(F.col("v")).alias("one")).collect()
     assert all((r.four, r.one) == (round(r.v, 4), round(r.v, 1)) for r in rows)
+
+
+def test_a_line_is_worked_out_once():
+    from millrace.operators.fit_scorer import Scorer
+
+    scorer, seen = Scorer(fit.FitRules()), []
+    make = scorer.lines.make
+    scorer.lines.make = lambda line: seen.append(line) or make(line)
+    found = [scorer.score(f"# Analyst {i % 3}\n{STRONG}", GRADUATE) for i in range(90)]
+    assert len(seen) == len(set(seen)) == 3 + len(STRONG.split("\n")) and len(scorer.candidates) == 1
+    assert all(x == found[i % 3] for i, x in enumerate(found))
+
+
+def test_fit_reads_lines_as_whole_texts_do(spark):
+    odd = ["visa\nsponsorship", "must\nbe\ncurrently authorised to work\nin the UK", "Source:\nAdzuna\nrequirements : \n- Build. Design!\r\nlead", "##\nJob Description\n\n Benefits\n...", "\xa0Benefits\n## Job Description  \n\x1c\xa0about us\xa0\n-\n*", "#\nData Analyst\nrole: x", "• -\n*", "green\ncard\n" + STRONG]
+    rows = spark.createDataFrame(list(enumerate(odd)), "id int, j string").withColumn("c", F.lit("Analyst"))
+    found = {r.id: r for r in postings.quality(fit.scored(rows, "j", "c"), "j").collect()}
+    assert all(r.fit.quality == r.quality for r in found.values())
+    assert [found[i].fit.codes for i in (0, 1, 7)] == [["work_authorization"], [], []]
+    assert [found[i].fit.flags for i in (0, 1, 7)] == [["status"], ["uk", "uk_held"], ["status"]]
+    assert found[5].fit.focus.title == "Data Analyst" and found[2].quality.snippet
+
+
+def test_pairs_join_before_texts_are_made(spark, tmp_path):
+    from millrace.plans.inputs import pairs
+
+    spark.createDataFrame([(1, 7, "1-URGENT"), (2, 7, "2-HIGH")], "o_orderkey bigint, o_custkey bigint, o_orderpriority string").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame([(7, "A")], "c_custkey bigint, c_name string").write.parquet(f"{tmp_path}/customer.parquet")
+    rows = pairs(spark, str(tmp_path))
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert rows.count() == 2 and plan.index("Job Description") < plan.index("Join") and "Job Description" not in plan[plan.index("Join") :]
