@@ -168,7 +168,8 @@ SELECT o_orderkey, score, coverage_score, observed_score, title, focus, array_to
   array_to_string(list_filter([CASE WHEN {_has('jn', v.STATUS_PATTERN)} AND NOT {_has('cn', v.STATUS_PATTERN)} THEN 'status' END, CASE WHEN {_any(v.UK_PLACES, 'jn')} THEN 'uk' END,
     CASE WHEN {_any(v.UK_PLACES, 'jn')} AND {_any(v.UK_REVIEW, 'jn')} THEN 'uk_review' END, CASE WHEN {_any(v.UK_PLACES, 'jn')} AND {_has('jn', v.UK_HELD_PATTERN)} THEN 'uk_held' END], lambda y: y IS NOT NULL), ',') AS flags FROM w""")
 def score_job_texts(spark, sf_dir):
-    found = fit.scored(pairs(spark, sf_dir), "job", "candidate")
+    names = ("score", "coverage_score", "observed_score", "focus", "eligibility", "codes", "confidence", "doubts", "active", "evidence", "recommendation", "flags")
+    found = fit.scored(pairs(spark, sf_dir), "job", "candidate", members=names)
     f = lambda *names: [F.col("fit")[n].alias(n) for n in names]
     joined = lambda n: F.array_join(F.col("fit")[n], ",").alias(n)
     focus = F.col("fit")["focus"]
